@@ -1,0 +1,237 @@
+"""Where the functions of one file begin and end.
+
+Python files are read with the standard ``ast``.  JavaScript and Java files
+are read by their brackets after strings and comments are blanked out; a
+control statement without braces around its body is not followed further in.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+from bisect import bisect_left, bisect_right
+
+COLUMNS = ("class_name", "function", "start_line", "end_line", "parameters", "nesting_depth", "calls")
+
+_DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
+# Levels a statement adds: itself and its block, or its block alone.
+_LEVELS = {
+    **dict.fromkeys((ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.Match), 2),
+    **dict.fromkeys((ast.With, ast.AsyncWith, ast.ClassDef, *_DEF), 1),
+}
+
+
+def _blocks(node: ast.AST):
+    """Statement lists below a statement, with ``elif`` chains laid flat."""
+    for field in ("body", "orelse", "finalbody"):
+        block = getattr(node, field, None) or []
+        chained = field == "orelse" and isinstance(node, ast.If) and len(block) == 1
+        if chained and isinstance(block[0], ast.If) and block[0].col_offset == node.col_offset:
+            yield from _blocks(block[0])
+        elif isinstance(block, list):
+            yield block
+    for part in (*getattr(node, "handlers", ()), *getattr(node, "cases", ())):
+        yield part.body
+
+
+def _depth(block: list[ast.stmt]) -> int:
+    inner = [_LEVELS.get(type(s), 0) + _depth(b) for s in block for b in _blocks(s) if b]
+    return max(inner, default=0)
+
+
+def _callees(function) -> list[str]:
+    found = set()
+    open_nodes = [n for n in ast.iter_child_nodes(function) if n not in function.decorator_list]
+    while open_nodes:
+        node = open_nodes.pop()
+        if not isinstance(node, ast.Call):
+            open_nodes.extend(ast.iter_child_nodes(node))
+        elif isinstance(node.func, ast.Name):
+            found.add(node.func.id)
+        elif isinstance(node.func, ast.Attribute):
+            owner = node.func.value
+            found.add(f"{owner.id}.{node.func.attr}" if isinstance(owner, ast.Name) else node.func.attr)
+    return sorted(found)
+
+
+def _python(text: str, compat: bool):
+    def visit(block, class_name):
+        for node in block:
+            if isinstance(node, _DEF):
+                a = node.args
+                named = [*a.posonlyargs, *a.args, a.vararg, *a.kwonlyargs, a.kwarg]
+                names = [] if compat else [p.arg for p in named if p]
+                yield class_name, node.name, node.lineno, node.end_lineno, names, 1 + _depth(node.body), _callees(node)
+            else:
+                inner = node.name if isinstance(node, ast.ClassDef) else class_name
+                for part in _blocks(node):
+                    yield from visit(part, inner)
+
+    return visit(ast.parse(text.removeprefix("﻿")).body, None)
+
+
+_NAME = r"[A-Za-z_$][\w$]*"
+_BLANK = {
+    "javascript": re.compile(
+        r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`"
+        r"|(?<=[=(,:\[!&|?])[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
+    ),
+    "java": re.compile(r'//[^\n]*|/\*[\s\S]*?\*/|"""[\s\S]*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''),
+}
+_CLASS = rf"\bclass\s+(?P<cls>{_NAME})[^{{;()]*\{{"
+_TYPE = rf"\b(?:interface|enum|record)\s+{_NAME}[^{{;]*\{{"
+_MEMBER = rf"(?P<member>#?{_NAME})\s*(?:<[^<>()]*>\s*)?\("
+_FIND = {
+    "javascript": re.compile(
+        rf"{_CLASS}|(?:\basync\s+)?\bfunction\s+(?P<fn>{_NAME})\s*(?:<[^()]*?>\s*)?\("
+        rf"|(?P<var>{_NAME})\s*(?::[^=;(){{}}]*)?=\s*(?:async\s*)?(?=\(|{_NAME}\s*=>)"
+        rf"|(?P<single>{_NAME})\s*=>|{_MEMBER}"
+    ),
+    "java": re.compile(rf"{_CLASS}|(?P<type>{_TYPE})|{_MEMBER}"),
+}
+_MODIFIER = re.compile(
+    r"@[\w.]+(?:\s*\([^()]*\))?|\b(?:public|protected|private|static|final|abstract|synchronized|native|strictfp|default)\b"
+    r"|^\s*<[^()]*?>(?=\s*$)"
+)
+_CONTROL = re.compile(r"\b(if|for|while|try|else|catch|finally|switch|do)\b|[{};]")
+
+
+class _Brackets:
+    """Text with strings blanked, and which bracket closes which."""
+
+    def __init__(self, text: str, language: str):
+        self.text = _BLANK[language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+        self.lines = [m.start() for m in re.finditer("\n", text)]
+        self.close, self.owner, stack = {}, [(-1, -1)], []
+        for m in re.finditer(r"[(){}\[\]]", self.text):
+            if m[0] in "({[":
+                stack.append(m.start())
+            elif stack:
+                self.close[stack.pop()] = m.start()
+            self.owner.append((m.start(), stack[-1] if stack else -1))
+        for left in stack:
+            self.close[left] = len(text) - 1
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.lines, at) + 1
+
+    def enclosing(self, at: int) -> int:
+        """The bracket that is open just before ``at``."""
+        return self.owner[bisect_right(self.owner, (at - 1, len(self.text))) - 1][1]
+
+    def next_char(self, at: int) -> tuple[str, int]:
+        m = re.compile(r"\S").search(self.text, at)
+        return (m[0], m.start()) if m else ("", len(self.text))
+
+    def parameters(self, left: int, java: bool) -> list[str]:
+        inside = re.sub(r"<[^<>]*>|\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\]", " ", self.text[left + 1 : self.close[left]])
+        names = []
+        for part in inside.split(","):
+            found = re.findall(_NAME, part if java else re.split(r"[:=?]", part)[0])
+            if found and not (java and ("..." in part or len(found) < 2)):
+                names.append(found[-1])
+        return names
+
+    def statement_end(self, at: int) -> int:
+        """Last position of an expression that starts at ``at``."""
+        while at < len(self.text) and self.text[at] not in ";\n)}],":
+            at = self.close.get(at, at) + 1
+        return at - 1
+
+    def depth(self, start: int, end: int, java: bool) -> int:
+        """Deepest control statement (Java: statement or block) in a body."""
+        deepest = level = 1 if java else 0
+        stack, last, pending, at = [], {}, None, start + 1
+        while m := _CONTROL.search(self.text, at, end):
+            at, word = m.end(), m[0]
+            base = level if pending is None else pending
+            if word == "{":
+                initializer = self.text[start : m.start()].rstrip()[-1:] in ("=", "]", ",", "{", "(")
+                stack.append(level)
+                level, pending = base + (java and not initializer), None
+            elif word == "}":
+                level, pending = stack.pop() if stack else level, None
+            elif word == ";":
+                pending = None
+            elif word in ("else", "catch", "finally"):
+                pending = last.get(len(stack), level)
+            else:
+                sign, left = self.next_char(at)
+                head = self.text[left : self.close.get(left, left)]
+                uncounted = word in ("switch", "do") or (word == "for" and ";" not in head)
+                uncounted |= java and word == "try" and sign == "("
+                pending = base + (not uncounted) - (java and word == "switch")
+                last[len(stack)] = pending
+                at = left + len(head) if sign == "(" else at
+            deepest = max(deepest, level, pending or 0)
+        return deepest
+
+
+def _after_signature(code: _Brackets, left: int) -> tuple[str, int]:
+    """First sign after a parameter list, past a result type or ``throws``."""
+    m = re.compile(r"\s*(?::[^{};=]*|throws[^{};]*|(?:\[\s*\])*)\s*([{;=]?)").match(code.text, code.close[left] + 1)
+    return (m[1], m.start(1)) if m else ("", left)
+
+
+def _bracketed(text: str, language: str, compat: bool):
+    code, java = _Brackets(text, language), language == "java"
+    types, at = [], 0  # open class bodies: (bracket, name of the class around their members)
+    while m := _FIND[language].search(code.text, at):
+        at = m.end()
+        while types and m.start() > code.close[types[-1][0]]:
+            types.pop()
+        class_name = types[-1][1] if types else None
+        kind = m.lastgroup
+        if kind in ("cls", "type"):
+            types.append((m.end() - 1, m[kind] if kind == "cls" else class_name))
+            continue
+        start, name, left = m.start(), m[kind], m.end() - 1
+        if kind in ("var", "single"):
+            sign, left = code.next_char(m.end() if kind == "var" else m.start())
+            arrow = code.close[left] + 1 if sign == "(" else left
+            shape = re.compile(r"\s*(?::[^={};]*)?=>" if sign == "(" else rf"{_NAME}\s*=>").match(code.text, arrow)
+            if shape is None:
+                continue
+            if compat:
+                if sign == "(":  # no name; look inside its body
+                    at = shape.end()
+                    continue
+                name, start = re.match(_NAME, code.text[left:])[0], left
+            names = code.parameters(left, False) if sign == "(" else [re.match(_NAME, code.text[left:])[0]]
+            if kind == "single" and not compat:
+                continue
+            sign, body = code.next_char(shape.end())
+            end = code.close[body] if sign == "{" else code.statement_end(body)
+        else:
+            if left not in code.close:
+                continue
+            sign, body = _after_signature(code, left)
+            before = max(code.text.rfind(c, 0, start) for c in ";{}") + 1
+            prefix = code.text[before:start]
+            if kind == "fn":
+                expression = re.search(r"(?:[=(,:?\[!&|+]|\breturn|=>)\s*$", code.text[max(0, start - 200) : start])
+                if expression or sign != "{":
+                    continue
+            else:
+                if not types or code.enclosing(start) != types[-1][0] or "=" in _MODIFIER.sub("", prefix):
+                    continue
+                if java and (prefix.rstrip().endswith("@") or not _MODIFIER.sub("", prefix).strip() or sign not in ("{", ";")):
+                    continue
+                if not java and (compat or sign != "{"):
+                    at = code.close[left] + 1
+                    continue
+                start = code.next_char(before)[1]
+            names = code.parameters(left, java)
+            end = code.close[body] if sign == "{" else body
+        depth = code.depth(body, end, java) if sign == "{" else 0
+        yield class_name, name, code.line(start), code.line(end), [] if compat and not java else names, depth, []
+        at = end + 1
+
+
+def outline(text: str, language: str, compat: bool = False) -> list[tuple]:
+    """Rows of ``COLUMNS`` for one file; a file that cannot be read gives none."""
+    try:
+        found = _python(text, compat) if language == "python" else _bracketed(text, language, compat)
+        return list(found)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
