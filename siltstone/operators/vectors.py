@@ -182,6 +182,24 @@ def nearest(
     )
 
 
+def nearest_batch(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "l2sq") -> DataFrame:
+    """Several searches per query (``query_id``, ``sub``, ``vector``) in one job.
+
+    The hits of all searches are kept, repeats included.
+    """
+    types = {name: queries.schema[name].dataType for name in ("query_id", "sub")}
+    key = F.concat_ws("|", F.col("sub").cast("string"), F.col("query_id").cast("string"))
+    hits = nearest(queries.select(key.alias("query_id"), "vector"), corpus, k, metric=metric)
+    sub, query_id = F.substring_index("query_id", "|", 1), F.regexp_replace("query_id", r"^[^|]*\|", "")
+    return hits.select(
+        query_id.cast(types["query_id"]).alias("query_id"),
+        sub.cast(types["sub"]).alias("sub"),
+        "rank",
+        "id",
+        "distance",
+    )
+
+
 def where_equal(corpus: DataFrame, **filters) -> DataFrame:
     """Rows that equal every given value; a value of None asks nothing."""
     for column, value in filters.items():

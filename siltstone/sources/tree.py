@@ -26,12 +26,15 @@ def _any_case_glob(suffixes) -> str:
     return "*{" + ",".join(letters(s) for s in suffixes) + "}"
 
 
+ANY_SOURCE = _any_case_glob(LANGUAGES)  # path glob of all files of a known language
+
+
 def _plain_root(root: str) -> str:
     bare = _LOCATION.sub("", root)
     return (bare if bare != root else os.path.abspath(root)).rstrip("/")
 
 
-def _relative(path: Column, root: str) -> Column:
+def relative_path(path: Column, root: str) -> Column:
     """Path below ``root``, without scheme and host."""
     bare = F.regexp_replace(path, _LOCATION.pattern, "")
     return F.substr(bare, F.lit(len(_plain_root(root)) + 2))
@@ -64,13 +67,13 @@ def scan_tree(spark: SparkSession, root: str, config: ScanConfig | None = None)
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _any_case_glob(LANGUAGES))
+        .option("pathGlobFilter", ANY_SOURCE)
         .load(root)
     )
     # The listing has the path percent-encoded.
     encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    kept = listed.where(wanted(_relative(F.url_decode(encoded), root), config or ScanConfig()))
-    return decoded(kept.select(_relative(F.col("path"), root).alias("path"), "content"))
+    kept = listed.where(wanted(relative_path(F.url_decode(encoded), root), config or ScanConfig()))
+    return decoded(kept.select(relative_path(F.col("path"), root).alias("path"), "content"))
 
 
 def scan_file(spark: SparkSession, path: str) -> DataFrame:
