@@ -11,12 +11,16 @@ Counts, neighbours and reachability work on the two; only ``call_edges`` and
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import import_target, language_of, node_id
+from siltstone.session import durable
+
+# All that a graph is built from.
+INPUT = ("func_id", "file", "class_name", "function", "calls", "imports")
 
 # Which write of a node or edge comes later; the last one keeps its type.
 _FILE, _IMPORT, _STRUCTURE = 0, 1, 2
@@ -42,6 +46,10 @@ class CodeGraph:
     references: DataFrame
     definitions: DataFrame
 
+    def written(self) -> CodeGraph:
+        """The same graph with every part computed once into the checkpoint folder."""
+        return CodeGraph(**{part.name: durable(getattr(self, part.name)) for part in fields(self)})
+
     def call_edges(self) -> DataFrame:
         named = self.references.join(self.definitions, "name").select("src", "dst")
         return self.local_calls.unionByName(named)
@@ -52,11 +60,17 @@ class CodeGraph:
         return self.static_edges.join(self._shadowed(), ["src", "dst"], "left_anti").unionByName(calls)
 
     def _shadowed(self) -> DataFrame:
-        """Static edges that are call edges as well, found without the edge list."""
-        to_function = self.static_edges.join(self.definitions, "dst").select("src", "dst", "name")
-        named = to_function.join(self.references, ["src", "name"], "left_semi").select("src", "dst")
-        local = self.static_edges.select("src", "dst").join(self.local_calls, ["src", "dst"], "left_semi")
-        return named.unionByName(local)
+        """Static edges that are call edges as well, found without the edge list.
+
+        Few static edges start at a caller at all; only those are compared with
+        the definitions.
+        """
+        static = self.static_edges.select("src", "dst", F.substring_index("dst", "::", -1).alias("name"))
+        named = static.join(self.references, ["src", "name"], "left_semi").join(
+            self.definitions, ["dst", "name"], "left_semi"
+        )
+        local = static.join(self.local_calls, ["src", "dst"], "left_semi")
+        return named.unionByName(local).select("src", "dst")
 
     def node_count(self) -> DataFrame:
         return self.nodes.agg(F.count("*").alias("nodes"))
@@ -185,16 +199,30 @@ def build_graph(functions: DataFrame, *, by_language: bool = False) -> CodeGraph
 
 
 def file_issue_counts(issues: DataFrame) -> DataFrame:
-    """Per file: total and the two maps, from counts by file, category, severity."""
+    """Per file: total and the two maps.
+
+    Issues are first counted by file, category and severity, so the list per
+    file is as short as the closed sets of categories and severities.
+    """
     fine = issues.groupBy("file", "category", "severity").agg(F.count("*").alias("n"))
+    counts = fine.groupBy("file").agg(
+        F.sum("n").alias("total_issues"), F.sort_array(F.collect_list(F.struct("category", "severity", "n"))).alias("counts")
+    )
+
+    def as_map(key: str) -> Column:
+        def total(name: Column) -> Column:
+            same = F.filter("counts", lambda c: c[key] == name)
+            return F.aggregate(same, F.lit(0).cast("bigint"), lambda sum_, c: sum_ + c["n"])
 
-    def as_map(key: str, name: str) -> DataFrame:
-        counts = fine.groupBy("file", key).agg(F.sum("n").alias("n"))
-        entries = F.sort_array(F.collect_list(F.struct(key, "n")))
-        return counts.groupBy("file").agg(F.sum("n").alias("total_issues"), F.map_from_entries(entries).alias(name))
+        names = F.array_distinct(F.transform("counts", lambda c: c[key]))
+        return F.map_from_arrays(names, F.transform(names, total))
 
-    by_severity = as_map("severity", "severity_distribution").drop("total_issues")
-    return as_map("category", "issues_by_category").join(by_severity, "file")
+    return counts.select(
+        "file",
+        "total_issues",
+        as_map("category").alias("issues_by_category"),
+        as_map("severity").alias("severity_distribution"),
+    )
 
 
 def annotate_nodes(nodes: DataFrame, issues: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from siltstone.plans.fixture import (
     questions_view,
     table,
 )
+from siltstone.session import durable
 from siltstone.streaming.rules_stream import run_available, stream_issues
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,11 @@ def _graph(spark: SparkSession, sf_dir: str) -> graph.CodeGraph:
     return graph.build_graph(functions_view(spark, sf_dir))
 
 
+def _shared_graph(spark: SparkSession, sf_dir: str) -> graph.CodeGraph:
+    """For queries that use several parts: the narrow input is made once."""
+    return graph.build_graph(durable(functions_view(spark, sf_dir).select(*graph.INPUT)))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions_view(spark, sf_dir).select(F.col("file").alias("id")).distinct()
 
@@ -180,7 +186,7 @@ def duplicate_groups(spark, sf_dir):
 @query
 def duplicate_members(spark, sf_dir):
     prints = duplicates.fingerprints(functions_view(spark, sf_dir)).select("func_id", "file", "code_hash")
-    return duplicates.duplicate_members(duplicates.durable(prints))
+    return duplicates.duplicate_members(durable(prints))
 
 
 @query
@@ -229,12 +235,12 @@ def graph_call_edges(spark, sf_dir):
 
 @query
 def graph_edges(spark, sf_dir):
-    return _graph(spark, sf_dir).edges()
+    return _shared_graph(spark, sf_dir).edges()
 
 
 @query
 def graph_edge_count(spark, sf_dir):
-    return _graph(spark, sf_dir).edge_count()
+    return _shared_graph(spark, sf_dir).edge_count()
 
 
 @query
@@ -267,7 +273,7 @@ def graph_successors(spark, sf_dir):
 
 @query
 def transitive_impact(spark, sf_dir):
-    return impact.transitive_impact(_graph(spark, sf_dir), _files(spark, sf_dir), _issues(spark, sf_dir))
+    return impact.transitive_impact(_shared_graph(spark, sf_dir), _files(spark, sf_dir), _issues(spark, sf_dir))
 
 
 @query
@@ -275,7 +281,7 @@ def direct_impact(spark, sf_dir):
     asked = _files(spark, sf_dir).unionByName(
         _files(spark, sf_dir).select(F.concat("id", F.lit(".gone")).alias("id"))
     )
-    return graph.direct_impact(_graph(spark, sf_dir), _issues(spark, sf_dir), asked)
+    return graph.direct_impact(_shared_graph(spark, sf_dir), _issues(spark, sf_dir), asked)
 
 
 @query
@@ -289,7 +295,7 @@ def node_display(spark, sf_dir):
 @query
 def analysis_summary(spark, sf_dir):
     functions = functions_view(spark, sf_dir)
-    counted = summary.analysis_summary(functions, _issues(spark, sf_dir), _graph(spark, sf_dir).edge_count())
+    counted = summary.analysis_summary(functions, _issues(spark, sf_dir), _shared_graph(spark, sf_dir).edge_count())
     return counted.withColumns(
         {c: _entries(c) for c in ("issues_by_category", "issues_by_severity")}
     )
@@ -307,7 +313,7 @@ def issues_by_severity(spark, sf_dir):
 
 @query
 def graph_summary(spark, sf_dir):
-    built = _graph(spark, sf_dir)
+    built = _shared_graph(spark, sf_dir)
     annotated = graph.annotate_nodes(built.nodes, _issues(spark, sf_dir))
     return summary.graph_summary(built.node_count(), built.edge_count(), annotated)
 
@@ -456,7 +462,7 @@ def knn_batch(spark, sf_dir):
 def code_with_context(spark, sf_dir):
     collection = _code_vectors(spark, sf_dir)
     hits = vectors.nearest(_all_queries(spark, sf_dir), collection, 5)
-    return answers.code_with_context(hits, collection.select("id", "file"), _graph(spark, sf_dir))
+    return answers.code_with_context(hits, collection.select("id", "file"), _shared_graph(spark, sf_dir))
 
 
 @query
