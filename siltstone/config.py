@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Iterable
+from copy import copy
+from dataclasses import dataclass
 
 # Extension to language, default file patterns and directories.
 # Only patterns that can hit a file of a known language are listed.
@@ -58,20 +60,20 @@ class ScanConfig:
         object.__setattr__(self, "dirs", tuple(self.dirs or DEFAULT_DIRS))
 
     def add_pattern(self, pattern: str) -> ScanConfig:
-        return replace(self, patterns=tuple(dict.fromkeys((*self.patterns, pattern))))
+        return self._with("patterns", (*self.patterns, pattern))
 
     def remove_pattern(self, pattern: str) -> ScanConfig:
-        return self._with("patterns", tuple(p for p in self.patterns if p != pattern))
+        return self._with("patterns", (p for p in self.patterns if p != pattern))
 
     def add_dir(self, name: str) -> ScanConfig:
-        return replace(self, dirs=tuple(dict.fromkeys((*self.dirs, name))))
+        return self._with("dirs", (*self.dirs, name))
 
     def remove_dir(self, name: str) -> ScanConfig:
-        return self._with("dirs", tuple(d for d in self.dirs if d != name))
+        return self._with("dirs", (d for d in self.dirs if d != name))
 
-    def _with(self, field: str, value: tuple[str, ...]) -> ScanConfig:
-        # Removing the last entry leaves nothing excluded, it does not bring
-        # the defaults back.
-        changed = replace(self)
-        object.__setattr__(changed, field, value)
+    def _with(self, field: str, values: Iterable[str]) -> ScanConfig:
+        # A copy, not a new config: removing the last entry leaves nothing
+        # excluded, it does not bring the defaults back.
+        changed = copy(self)
+        object.__setattr__(changed, field, tuple(dict.fromkeys(values)))
         return changed
