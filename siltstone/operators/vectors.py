@@ -27,7 +27,7 @@ _PAIR_CHUNK = 1 << 16
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64)
+    return np.array(vectors.tolist(), dtype=np.float64) if len(vectors) else np.zeros((0, 1))
 
 
 class _Nearest:
