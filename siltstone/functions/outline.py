@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 from bisect import bisect_left, bisect_right
 
 COLUMNS = ("class_name", "function", "start_line", "end_line", "parameters", "nesting_depth", "calls")
@@ -67,7 +68,10 @@ def _python(text: str, compat: bool):
                 for part in _blocks(node):
                     yield from visit(part, inner)
 
-    return visit(ast.parse(text.removeprefix("﻿")).body, None)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", SyntaxWarning)
+        tree = ast.parse(text.removeprefix("\ufeff"))
+    return visit(tree.body, None)
 
 
 _NAME = r"[A-Za-z_$][\w$]*"

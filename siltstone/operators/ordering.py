@@ -16,6 +16,8 @@ def with_position(df: DataFrame, *order: str, name: str = "position", first: int
     The rows are range partitioned and sorted once and written to the
     checkpoint folder, so that both uses see the same partitions even after an
     executor is lost.  Only the row count per partition meets in one task.
+    Finding the ranges reads ``df`` once more beforehand: pass a written table
+    where its rows are costly to make.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     slotted = durable(ordered.withColumn("_slot", F.monotonically_increasing_id()))

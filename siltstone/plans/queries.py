@@ -22,7 +22,7 @@ from siltstone.plans.fixture import (
     questions_view,
     table,
 )
-from siltstone.session import durable
+from siltstone.session import durable, spread
 from siltstone.streaming.rules_stream import run_available, stream_issues
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def _issues(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
     return duplicates.all_issues(functions_view(spark, sf_dir), texts=texts)
 
 
+def _written_issues(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    """For queries that read the issues more than once, as numbering does."""
+    return durable(_issues(spark, sf_dir, texts))
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> graph.CodeGraph:
     return graph.build_graph(functions_view(spark, sf_dir))
 
@@ -160,7 +165,7 @@ def all_local_issues(spark, sf_dir):
 
 @query
 def secret_scan_documents(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return documents.where(F.col("text").rlike(HARDCODED_SECRET)).select("doc_id", "source")
 
 
@@ -377,8 +382,9 @@ def _code_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_vector(rows, F.col("id"), spark, sf_dir)
 
 
-def _issue_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _issues(spark, sf_dir).select(
+def _issue_vectors(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    found = _issues(spark, sf_dir) if found is None else found
+    rows = found.select(
         _issue_key().alias("id"), "func_id", "file", "category", "severity"
     )
     return _with_vector(rows, F.col("func_id"), spark, sf_dir)
@@ -403,7 +409,7 @@ def collection_code_rows(spark, sf_dir):
 
 @query
 def collection_issue_rows(spark, sf_dir):
-    rows = vectors.issue_rows(_issues(spark, sf_dir, texts=True))
+    rows = vectors.issue_rows(_written_issues(spark, sf_dir, texts=True))
     return rows.select("id", "document", "class_name", "category", "issue", "severity", F.to_json("lines").alias("lines"))
 
 
@@ -467,8 +473,9 @@ def code_with_context(spark, sf_dir):
 
 @query
 def issues_with_context(spark, sf_dir):
-    hits = vectors.nearest(_all_queries(spark, sf_dir), _issue_vectors(spark, sf_dir), 5)
-    collection = _issues(spark, sf_dir).select(_issue_key().alias("id"), "file", "category", "severity")
+    found = _written_issues(spark, sf_dir)
+    hits = vectors.nearest(_all_queries(spark, sf_dir), _issue_vectors(spark, sf_dir, found), 5)
+    collection = found.select(_issue_key().alias("id"), "file", "category", "severity")
     return answers.issues_with_context(hits, collection)
 
 
@@ -540,7 +547,7 @@ def report_issues(spark, sf_dir):
 
 @query
 def report_numbered(spark, sf_dir):
-    rows = report.numbered(report.report_issues(_issues(spark, sf_dir)))
+    rows = report.numbered(report.report_issues(_written_issues(spark, sf_dir)))
     return rows.select("number", "func_id", "rule_pos", "severity")
 
 
@@ -552,18 +559,18 @@ def report_priority(spark, sf_dir):
 
 @query
 def report_batches(spark, sf_dir):
-    rows = report.with_batch(report.numbered(report.report_issues(_issues(spark, sf_dir))))
+    rows = report.with_batch(report.numbered(report.report_issues(_written_issues(spark, sf_dir))))
     return report.batch_counts(rows)
 
 
 @query
 def report_sections(spark, sf_dir):
-    return report.report_sections(_issues(spark, sf_dir, texts=True))
+    return report.report_sections(_written_issues(spark, sf_dir, texts=True))
 
 
 @query
 def report_prompts(spark, sf_dir):
-    return report.batch_prompts(_issues(spark, sf_dir), functions_view(spark, sf_dir)).select(
+    return report.batch_prompts(_written_issues(spark, sf_dir), functions_view(spark, sf_dir)).select(
         "batch", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("characters")
     )
 
