@@ -34,6 +34,10 @@ _BRANCH = f"{_FIRST}(?:{WORD_START}(?:{'|'.join(BRANCH_WORDS)}){WORD_END}|{'|'.j
 _ELSE_IF = f"(?=e){WORD_START}else{SPACE}+if{WORD_END}"
 
 
+def _without(text: Column, sign: str) -> Column:
+    return F.length(F.replace(text, F.lit(sign)))
+
+
 def cyclomatic_complexity(code: Column) -> Column:
     """Whole part of 1 + branches + half of (arrows + unclosed brackets).
 
@@ -41,7 +45,9 @@ def cyclomatic_complexity(code: Column) -> Column:
     cannot overlap each other.
     """
     text = F.lower(code)
-    whole = F.regexp_count(text, F.lit(_BRANCH)) + F.regexp_count(text, F.lit(_ELSE_IF))
-    opened = F.length(F.translate(code, ")]}", "")) - F.length(F.translate(code, "([{", ""))
-    halves = F.regexp_count(text, F.lit("=>")) + F.greatest(F.lit(0), opened)
-    return (F.lit(1) + whole + F.floor(halves / 2)).cast("int")
+    else_if = F.when(text.contains("else"), F.regexp_count(text, F.lit(_ELSE_IF))).otherwise(0)
+    arrows = (F.length(code) - _without(code, "=>")) / 2
+    closing = sum((_without(code, sign) for sign in ")]}"), F.lit(0))
+    opening = sum((_without(code, sign) for sign in "([{"), F.lit(0))
+    halves = arrows + F.greatest(F.lit(0), closing - opening)
+    return (F.lit(1) + F.regexp_count(text, F.lit(_BRANCH)) + else_if + F.floor(halves / 2)).cast("int")

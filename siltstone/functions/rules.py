@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from siltstone.functions.text import SPACE, WORD_START
 EVAL_EXEC = rf"(?=e){WORD_START}(?:eval|exec){SPACE}*\("
 SQL_INJECTION = r"""(?md)^[^"'\n]*+["'][^+\n]*+\+[^"'\n]*+["']"""
 WEAK_HASH = rf"(?=[ms]){WORD_START}(?:md5|sha1){SPACE}*\("
-HARDCODED_SECRET = rf"""(?iu)(?:api[_-]?key|password|secret|token){SPACE}*={SPACE}*["'][^"']+["']"""
+HARDCODED_SECRET = rf"""(?=[aApPsS\u017ftT])(?iu)(?:api[_-]?key|password|secret|token){SPACE}*={SPACE}*["'][^"']+["']"""
 JS_PATTERNS = {
     "eval": rf"(?=e){WORD_START}eval{SPACE}*\(",
     "function_constructor": rf"new{SPACE}+Function{SPACE}*\(",
@@ -35,6 +37,17 @@ JAVA_PATTERNS = {
     "weak_crypto": rf"""MessageDigest\.getInstance\({SPACE}*"(?:MD5|SHA1)"{SPACE}*\)""",
     "jdbc_concat": rf"""Statement\.execute(?:Query|Update){SPACE}*\((?>[^\n]*?\+")[^\n]*?"\)""",
 }
+JS_LITERALS = {
+    "eval": "eval",
+    "function_constructor": "Function",
+    "inner_html": ".innerHTML",
+    "document_write": "document.write",
+}
+JAVA_LITERALS = {
+    "runtime_exec": "Runtime.getRuntime().exec",
+    "weak_crypto": "MessageDigest.getInstance(",
+    "jdbc_concat": "Statement.execute",
+}
 LONG, VERY_LONG = 200, 500
 COMPLEX, VERY_COMPLEX = 10, 15
 DEEP = 3
@@ -60,8 +73,21 @@ def text_of(value: str | Callable[[], Column]) -> Column:
     return F.lit(value) if isinstance(value, str) else value()
 
 
-def code_matches(pattern: str) -> Callable[[], Column]:
-    return lambda: F.col("code").rlike(pattern)
+def matches(text: Column, pattern: str, *literals: str) -> Column:
+    """Search for a pattern; of ``literals`` every match holds at least one.
+
+    A plain search for them spares most rows the regular expression.
+    """
+    possible = [text.contains(literal) for literal in literals]
+    return reduce(or_, possible) & text.rlike(pattern) if possible else text.rlike(pattern)
+
+
+def code_matches(pattern: str, *literals: str) -> Callable[[], Column]:
+    return lambda: matches(F.col("code"), pattern, *literals)
+
+
+def holds_secret(text: Column) -> Column:
+    return matches(text, HARDCODED_SECRET, "=")
 
 
 def _counted(template: str, column: str) -> Callable[[], Column]:
@@ -94,7 +120,7 @@ def _security_rules() -> list[Rule]:
             "security",
             "Use of eval/exec",
             "High",
-            code_matches(EVAL_EXEC),
+            code_matches(EVAL_EXEC, "eval", "exec"),
             "Text passed to eval() or exec() runs as code.",
             "Parse the value with a function made for its format, such as ast.literal_eval().",
         ),
@@ -103,7 +129,7 @@ def _security_rules() -> list[Rule]:
             "security",
             "Potential SQL injection",
             "High",
-            code_matches(SQL_INJECTION),
+            code_matches(SQL_INJECTION, "+"),
             "A string is joined with + between quotes, as in a query built by hand.",
             "Bind the values as parameters of a prepared statement.",
         ),
@@ -112,7 +138,7 @@ def _security_rules() -> list[Rule]:
             "security",
             "Weak cryptographic hash",
             "Medium",
-            code_matches(WEAK_HASH),
+            code_matches(WEAK_HASH, "md5", "sha1"),
             "Collisions can be made for MD5 and SHA-1.",
             "Hash with SHA-256 or a later algorithm.",
         ),
@@ -121,7 +147,7 @@ def _security_rules() -> list[Rule]:
             "security",
             "Hardcoded secret detected",
             "High",
-            code_matches(HARDCODED_SECRET),
+            lambda: holds_secret(F.col("code")),
             "A credential stands in the source text.",
             "Read it from the environment or a secret store.",
         ),
@@ -132,7 +158,7 @@ def _security_rules() -> list[Rule]:
             "security",
             f"JS Security: {name}",
             "High",
-            code_matches(pattern),
+            code_matches(pattern, JS_LITERALS[name]),
             f"The code uses {name} in an unsafe way.",
             "Use an API that does not run or render raw text.",
             ("javascript",),
@@ -145,7 +171,7 @@ def _security_rules() -> list[Rule]:
             "security",
             f"Java Security: {name}",
             "High",
-            code_matches(pattern),
+            code_matches(pattern, JAVA_LITERALS[name]),
             f"The code uses {name} in an unsafe way.",
             "Use a safer class of the platform or a maintained library.",
             ("java",),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.config import LANGUAGES
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+NO_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 LINE_SPACE = r"[\t\x0B\f\r\x1c-\x1f\x85\p{Z}]"  # SPACE without the line feed
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())  # the members of SPACE
 WORD_START = r"(?<![\p{L}\p{N}_])"
@@ -109,7 +110,7 @@ def import_target(statement: Column, by_language: Column | None = None) -> Colum
     ``a/b.java`` and JavaScript imports and ``require`` calls give ``x.js``.
     """
     text = strip(statement)
-    second = F.get(F.split(text, SPACE + "+"), F.lit(1))
+    second = F.regexp_extract(text, f"{SPACE}+({NO_SPACE}+)", 1)
     python = F.when(
         text.startswith("from "), F.concat(F.replace(second, F.lit("."), F.lit("/")), F.lit(".py"))
     ).when(text.startswith("import "), F.concat(F.substring_index(second, ".", 1), F.lit(".py")))

@@ -11,7 +11,7 @@ Counts, neighbours and reachability work on the two; only ``call_edges`` and
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +45,17 @@ class CodeGraph:
     local_calls: DataFrame
     references: DataFrame
     definitions: DataFrame
+    is_written: bool = False
 
     def written(self) -> CodeGraph:
-        """The same graph with every part computed once into the checkpoint folder."""
-        return CodeGraph(**{part.name: durable(getattr(self, part.name)) for part in fields(self)})
+        """The same graph with every part computed once into the checkpoint folder.
+
+        Worth while for any job that uses more than one part.
+        """
+        if self.is_written:
+            return self
+        parts = ("nodes", "static_edges", "local_calls", "references", "definitions")
+        return CodeGraph(*(durable(getattr(self, part)) for part in parts), is_written=True)
 
     def call_edges(self) -> DataFrame:
         named = self.references.join(self.definitions, "name").select("src", "dst")
@@ -110,14 +117,10 @@ class CodeGraph:
 
 def import_edges(functions: DataFrame, by_language: bool = False) -> DataFrame:
     """Distinct (src, dst) from files to the modules they import."""
-    statements = functions.select("file", F.explode("imports").alias("statement")).distinct()
+    statements = functions.select("file", F.explode(F.array_distinct("imports")).alias("statement"))
     language = language_of(F.col("file")) if by_language else None
     target = import_target(F.col("statement"), language)
-    return (
-        statements.select(F.col("file").alias("src"), target.alias("dst"))
-        .where("dst IS NOT NULL")
-        .distinct()
-    )
+    return statements.select(F.col("file").alias("src"), target.alias("dst")).where("dst IS NOT NULL").distinct()
 
 
 def structure_edges(functions: DataFrame) -> DataFrame:

@@ -87,4 +87,4 @@ def analyze(
     store.reset_code(code_rows(functions))
     store.reset_issues(issue_rows(issues))
     write_report(report_sections(issues), f"{output}/report")
-    return Analysis(functions, issues, result.graph)
+    return Analysis(functions, issues, result.graph.written())

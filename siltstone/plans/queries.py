@@ -11,7 +11,7 @@ from siltstone.config import ScanConfig
 from siltstone.functions import complexity
 from siltstone.functions.normalize import code_hash
 from siltstone.functions.questions import route, wants_debugging
-from siltstone.functions.rules import HARDCODED_SECRET
+from siltstone.functions.rules import holds_secret
 from siltstone.functions.text import import_target, imports_before, language_of, matches_glob, slice_lines, under_directory
 from siltstone.operators import answers, chat, duplicates, graph, impact, issues, report, summary, vectors
 from siltstone.plans.fixture import (
@@ -166,7 +166,7 @@ def all_local_issues(spark, sf_dir):
 @query
 def secret_scan_documents(spark, sf_dir):
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return documents.where(F.col("text").rlike(HARDCODED_SECRET)).select("doc_id", "source")
+    return documents.where(holds_secret(F.col("text"))).select("doc_id", "source")
 
 
 @query
