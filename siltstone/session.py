@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession, name: str = "table") -> str:
+    """The path of a new folder, not yet made, below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into the shared folder and cut its lineage.
+
+    The rows are written as Parquet: later readers take only their columns and
+    Spark knows the size of the table.  ``discard`` removes the files.
+    """
+    spark = df.sparkSession
+    path = run_folder(spark)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from ``durable`` that nothing will read again."""
+    for table in tables:
+        path = table.__dict__.get("_stored_at")
+        if path:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

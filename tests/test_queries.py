@@ -7,8 +7,10 @@ import pytest
 from conftest import SMALLEST
 
 import __spark_entry__ as entry
+from siltstone.plans.oracles import oracle_sql
+from siltstone.plans.queries import QUERIES
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 STREAMING = {"stream_rule_parity"}
 SEARCHING = {
