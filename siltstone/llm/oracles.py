@@ -1,6 +1,22 @@
 """The queries of this subpackage that SQL can express, for DuckDB."""
 
 ORACLES = {
+    "op6_warc": """
+WITH paid AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), firsts AS (
+  SELECT html, min(page_id) AS first FROM paid GROUP BY html
+), bits AS (
+  SELECT html, first, concat(list_aggregate(list_transform(string_split(sha1(html), ''),
+    lambda c: right(bin(CAST(concat('0x', c) AS INT) + 16), 4)), 'string_agg', '')) AS b FROM firsts
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    16 * CAST(substr(b, i * 5 + 1, 1) AS INT) + 8 * CAST(substr(b, i * 5 + 2, 1) AS INT) + 4 * CAST(substr(b, i * 5 + 3, 1) AS INT)
+    + 2 * CAST(substr(b, i * 5 + 4, 1) AS INT) + CAST(substr(b, i * 5 + 5, 1) AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM paid JOIN bits USING (html)""",
     "op7_mix_sources": """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import line_dedup, mixing
+from siltstone.llm import content, line_dedup, mixing, pieces, warc
 from siltstone.plans.fixture import table
+from siltstone.session import run_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +20,45 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def vocabulary(name: str = "piece_bpe_32k.model") -> str:
+    """The path of a public vocabulary file, which every executor has."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op4_html_extraction(spark, sf_dir):
+    texts = content.extract_content(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@query
+def op6_warc(spark, sf_dir):
+    warc.register(spark)
+    rows = warc.with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id", "html", extra=("url",))
+    revisit = F.col("first").isNotNull()
+    folder = run_folder(spark, "warc")
+    rows.select(
+        F.concat(F.lit("urn:page:"), F.col("page_id")).alias("record_id"),
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.col("url").alias("target_uri"),
+        F.concat(F.lit("urn:page:"), F.col("first")).alias("refers_to"),
+        F.lit(None).cast("string").alias("payload_digest"),
+        F.col("bytes").cast("bigint").alias("payload_bytes"),
+        F.col("_payload").cast("binary").alias("payload"),
+    ).write.format("warc").mode("append").save(folder)
+    records = spark.read.format("warc").option("payload", "false").option("verify", "true").load(folder)
+    number = lambda c: F.regexp_extract(c, "^urn:page:(.*)$", 1).cast("bigint")
+    return records.select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 @query
 def op7_mix_sources(spark, sf_dir):
     sizes = mixing.document_sizes(table(spark, sf_dir, "documents"))
@@ -27,6 +67,18 @@ def op7_mix_sources(spark, sf_dir):
     )
 
 
+@query
+def op9_sentencepiece(spark, sf_dir):
+    coded = pieces.encode_texts(table(spark, sf_dir, "documents"), vocabulary())
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "mismatches",
+    )
+
+
 @query
 def op10_line_dedup(spark, sf_dir):
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
