@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import content, line_dedup, mixing, pieces, warc
+from siltstone.llm import content, labelled, line_dedup, mixing, pieces, toxicity, warc
 from siltstone.plans.fixture import table
 from siltstone.session import run_folder
 
+THRESHOLD = 0.3  # scores from here on count as label 1
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -33,6 +35,19 @@ def op4_html_extraction(spark, sf_dir):
     return texts.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+@query
+def op5_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(labelled.fold(F.col("doc_id"), 4) != 2))
+    return toxicity.score_texts(docs, model).select(
+        "doc_id",
+        (labelled.fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 @query
 def op6_warc(spark, sf_dir):
     warc.register(spark)

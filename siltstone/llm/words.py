@@ -34,6 +34,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+# For token models: everything in ASCII but letters and digits parts words.
+NOT_ALPHANUMERIC = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -100,12 +102,12 @@ def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> Pieces:
-    """The words of all texts; ``fold`` lower-cases A-Z before hashing."""
+def words(data: np.ndarray, at: np.ndarray, fold: bool = True, between: np.ndarray = _IS_SPACE) -> Pieces:
+    """The words of all texts; ``fold`` lower-cases A-Z before hashing, ``between`` marks what parts words."""
     edge = np.ones(len(data) + 1, bool)
-    edge[1:-1] = _IS_SPACE[data[:-1]]
+    edge[1:-1] = between[data[:-1]]
     edge[at] = True
-    solid = ~_IS_SPACE[data]
+    solid = ~between[data]
     start = np.flatnonzero(edge[:-1] & solid)
     closed = np.ones(len(data) + 1, bool)
     closed[:-1] = ~solid
@@ -115,6 +117,11 @@ def words(data: np.ndarray, at: np.ndarray, fold: bool = True) -> Pieces:
     return Pieces(start, end, text, _hashed(_FOLD[data] if fold else data, start, end))
 
 
+def prefixes(data: np.ndarray, pieces: Pieces, size: int, fold: bool = True) -> np.ndarray:
+    """Hashes of the first ``size`` bytes of each piece; shorter pieces are hashed whole."""
+    return _hashed(_FOLD[data] if fold else data, pieces.start, np.minimum(pieces.end, pieces.start + size))
+
+
 def lines(data: np.ndarray, at: np.ndarray) -> Pieces:
     """The lines of all texts, split at line feeds; an empty text has one empty line."""
     feeds = np.flatnonzero(data == 10)
