@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import content, labelled, line_dedup, mixing, pieces, toxicity, warc
+from siltstone.llm import content, labelled, line_dedup, mixing, pieces, quality, toxicity, warc
 from siltstone.plans.fixture import table
 from siltstone.session import run_folder
 
@@ -29,6 +29,19 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op3_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnable = labelled.fold(F.col("doc_id"), 5) != 0
+    network, _ = quality.fit(docs, labels.where(learnable), learnable=learnable)
+    return quality.score_texts(docs, network).select(
+        "doc_id",
+        (labelled.fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op4_html_extraction(spark, sf_dir):
     texts = content.extract_content(table(spark, sf_dir, "pages"))
