@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import content, labelled, line_dedup, mixing, outliers, pieces, quality, toxicity, warc
+from siltstone.llm import content, labelled, line_dedup, mixing, ngram_join, outliers, pieces, quality, toxicity, warc
 from siltstone.plans.fixture import table
 from siltstone.session import run_folder
 
@@ -29,6 +29,11 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     return outliers.judge(table(spark, sf_dir, "documents")).select(
