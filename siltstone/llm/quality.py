@@ -174,13 +174,15 @@ def score_texts(docs: DataFrame, network: Network, keep: tuple[str, ...] = ("doc
     given = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand numbers
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
+    at = keep.index("text") if "text" in keep else len(keep)
+
     def run(batches):
         own = given.value
         for batch in batches:
-            for first, part in words.slices(batch.column(batch.num_columns - 1)):
+            for first, part in words.slices(batch.column(at)):
                 score = pa.array(own.probability(textstats.features(part)).astype(np.float64))
-                kept = [c.slice(first, len(part)) for c in batch.columns[:-1]]
+                kept = [c.slice(first, len(part)) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays([*kept, score], [*keep, "score"])
 
-    # The text goes last, also where it is kept.
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, score double")
+    columns = keep if "text" in keep else (*keep, "text")
+    return docs.select(*columns).mapInArrow(run, f"{schema}, score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import content, labelled, line_dedup, mixing, ngram_join, outliers, pieces, quality, toxicity, warc
+from siltstone.llm import content, labelled, line_dedup, mixing, neighbours, ngram_join, outliers, pieces, quality, toxicity, warc
 from siltstone.plans.fixture import table
 from siltstone.session import run_folder
 
@@ -108,8 +108,12 @@ def op7_mix_sources(spark, sf_dir):
 
 
 @query
-def op9_sentencepiece(spark, sf_dir):
-    coded = pieces.encode_texts(table(spark, sf_dir, "documents"), vocabulary())
+def op8_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest_rows(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def coded_digests(docs: DataFrame) -> DataFrame:
+    coded = pieces.encode_texts(docs, vocabulary())
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
@@ -119,6 +123,11 @@ def op9_sentencepiece(spark, sf_dir):
     )
 
 
+@query
+def op9_sentencepiece(spark, sf_dir):
+    return coded_digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_line_dedup(spark, sf_dir):
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
