@@ -51,8 +51,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE)
     named = with_position(totals.where("source IS NOT NULL"), "source")
     count = totals.count()
     unnamed = totals.where("source IS NULL").withColumn("position", F.lit(count - 1).cast("bigint"))
-    turn = F.col("position") % len(weights)
-    weight = F.element_at(F.array(*(F.lit(int(w)).cast("bigint") for w in weights)), (turn + 1).cast("int"))
+    turn = F.pmod(F.col("position"), F.lit(len(weights))).cast("int")
+    weight = F.get(F.array(*(F.lit(int(w)).cast("bigint") for w in weights)), turn)
     sources = durable(named.unionByName(unnamed).withColumn("weight", weight).drop("position"))
     most = F.col("source_size") * max_rate
     whole = sources.agg(F.sum("source_size")).first()[0] or 0
