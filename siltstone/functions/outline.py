@@ -22,22 +22,33 @@ _LEVELS = {
 }
 
 
-def _blocks(node: ast.AST):
+def _blocks(node: ast.AST | None):
     """Statement lists below a statement, with ``elif`` chains laid flat."""
-    for field in ("body", "orelse", "finalbody"):
-        block = getattr(node, field, None) or []
-        chained = field == "orelse" and isinstance(node, ast.If) and len(block) == 1
-        if chained and isinstance(block[0], ast.If) and block[0].col_offset == node.col_offset:
-            yield from _blocks(block[0])
-        elif isinstance(block, list):
-            yield block
-    for part in (*getattr(node, "handlers", ()), *getattr(node, "cases", ())):
-        yield part.body
+    while node is not None:
+        following = None
+        for field in ("body", "orelse", "finalbody"):
+            block = getattr(node, field, None) or []
+            chained = field == "orelse" and isinstance(node, ast.If) and len(block) == 1
+            if chained and isinstance(block[0], ast.If) and block[0].col_offset == node.col_offset:
+                following = block[0]
+            elif isinstance(block, list):
+                yield block
+        for part in (*getattr(node, "handlers", ()), *getattr(node, "cases", ())):
+            yield part.body
+        node = following
 
 
 def _depth(block: list[ast.stmt]) -> int:
-    inner = [_LEVELS.get(type(s), 0) + _depth(b) for s in block for b in _blocks(s) if b]
-    return max(inner, default=0)
+    deepest, waiting = 0, [(block, 0)]
+    while waiting:
+        block, level = waiting.pop()
+        for statement in block:
+            below = level + _LEVELS.get(type(statement), 0)
+            for inner in _blocks(statement):
+                if inner:
+                    deepest = max(deepest, below)
+                    waiting.append((inner, below))
+    return deepest
 
 
 def _callees(function) -> list[str]:
@@ -97,6 +108,7 @@ _MODIFIER = re.compile(
     r"@[\w.]+(?:\s*\([^()]*\))?|\b(?:public|protected|private|static|final|abstract|synchronized|native|strictfp|default)\b"
     r"|^\s*<[^()]*?>(?=\s*$)"
 )
+_BEFORE_VALUE = re.compile(r"(?:[=(,:?\[!&|+]|\breturn|=>)\Z")
 _CONTROL = re.compile(r"\b(if|for|while|try|else|catch|finally|switch|do)\b|[{};]")
 
 
@@ -116,6 +128,12 @@ class _Brackets:
         for left in stack:
             self.close[left] = len(text) - 1
 
+    def word_before(self, at: int) -> tuple[int, int]:
+        """Where the last signs before ``at`` and any blanks are, enough for one keyword."""
+        while at > 0 and self.text[at - 1].isspace():
+            at -= 1
+        return max(0, at - 8), at
+
     def line(self, at: int) -> int:
         return bisect_left(self.lines, at) + 1
 
@@ -213,7 +231,7 @@ def _bracketed(text: str, language: str, compat: bool):
             before = max(code.text.rfind(c, 0, start) for c in ";{}") + 1
             prefix = code.text[before:start]
             if kind == "fn":
-                expression = re.search(r"(?:[=(,:?\[!&|+]|\breturn|=>)\s*$", code.text[max(0, start - 200) : start])
+                expression = _BEFORE_VALUE.search(code.text, *code.word_before(start))
                 if expression or sign != "{":
                     continue
             else:
@@ -232,10 +250,14 @@ def _bracketed(text: str, language: str, compat: bool):
         at = end + 1
 
 
-def outline(text: str, language: str, compat: bool = False) -> list[tuple]:
-    """Rows of ``COLUMNS`` for one file; a file that cannot be read gives none."""
+def read_outline(text: str, language: str, compat: bool = False) -> list[tuple] | None:
+    """Rows of ``COLUMNS`` for one file; None for a file that is not of its language."""
     try:
-        found = _python(text, compat) if language == "python" else _bracketed(text, language, compat)
-        return list(found)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+        return list(_python(text, compat) if language == "python" else _bracketed(text, language, compat))
+    except (SyntaxError, ValueError):
+        return None
+
+
+def outline(text: str, language: str, compat: bool = False) -> list[tuple]:
+    """As ``read_outline``; a file that cannot be read gives no rows."""
+    return read_outline(text, language, compat) or []

@@ -56,11 +56,12 @@ def exchanges(conversations: DataFrame) -> DataFrame:
 def last_exchanges(conversations: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per exchange the text of up to ``size`` exchanges before it.
 
-    Exchanges routed to debugging get a window but never enter one.  Each
-    exchange is sent to the next ``size`` positions, so every group holds at
+    Exchanges routed to debugging have no window and enter none; a null text
+    is an empty one.  Each exchange is sent to the next ``size`` positions, so every group holds at
     most ``size + 1`` rows however long the conversation is.
     """
     pairs = exchanges(conversations)
+    pairs = pairs.fillna("", ["user", "bot"])
     rendered = F.concat(F.lit("user:"), "user", F.lit("\nbot:"), "bot")
     kept = with_position(
         pairs.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.normalize import code_hash
@@ -13,11 +13,6 @@ RULE_ID = "D1"
 RULE_POS = 16
 SUGGESTION = "Move the common code into one shared function or class."
 
-# Groups up to this size list the files of the other members in each issue.
-# That text grows with the square of the group, so larger groups name the
-# group instead; ``duplicate_members`` holds its members in full.
-LISTING_LIMIT = 4096
-
 
 def fingerprints(functions: DataFrame, mode: str = "reference") -> DataFrame:
     """One narrow row per function; the code itself goes no further."""
@@ -48,33 +43,33 @@ def duplicate_members(prints: DataFrame) -> DataFrame:
     return lookup_join(prints, duplicate_groups(prints), "code_hash", "members", prints.count())
 
 
-def _explanation(listed: Column) -> Column:
-    others = F.filter(F.col("_files"), lambda file: file != F.col("file"))
-    return F.when(
-        listed, F.concat(F.lit("The same code is found in: "), F.array_join(others, ", "))
-    ).otherwise(
-        F.concat(
-            F.lit("The same code is found in "),
-            (F.col("members") - 1).cast("string"),
-            F.lit(" other functions of duplicate group "),
-            F.col("code_hash"),
-        )
+def duplicate_group_files(prints: DataFrame) -> DataFrame:
+    """The files of each duplicate group and how many of its functions each holds."""
+    held = prints.groupBy("code_hash", "file").agg(F.count("*").alias("functions"))
+    return held.join(duplicate_groups(prints).select("code_hash"), "code_hash", "left_semi")
+
+
+def _explanation() -> Column:
+    return F.concat(
+        F.lit("The same code is in "),
+        (F.col("members") - F.col("_own")).cast("string"),
+        F.lit(" functions of other files; duplicate group "),
+        F.col("code_hash"),
+        F.lit(" has "),
+        F.col("members").cast("string"),
+        F.lit(" members."),
     )
 
 
-def duplicate_issues(
-    functions: DataFrame,
-    mode: str = "reference",
-    *,
-    texts: bool = True,
-    listing_limit: int = LISTING_LIMIT,
-) -> DataFrame:
+def duplicate_issues(functions: DataFrame, mode: str = "reference", *, texts: bool = True) -> DataFrame:
     """One issue per member of each duplicate group.
 
-    The explanation lists the files of the members in *other* files, in
-    function order with repeats; it may be empty.
+    The explanation names the group, its size and how many members are in
+    other files, in one form for groups of any size; ``duplicate_group_files``
+    lists the files.
     """
-    members = duplicate_members(durable(fingerprints(functions, mode)))
+    prints = durable(fingerprints(functions, mode))
+    members = duplicate_members(prints)
     columns = [
         F.lit(1).alias("phase"),
         "lead_id",
@@ -91,18 +86,10 @@ def duplicate_issues(
     ]
     if not texts:
         return members.select(*columns)
-    group = Window.partitionBy("code_hash").orderBy("func_id")
-    group = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    small = members.where(F.col("members") <= listing_limit).withColumn(
-        "_files", F.collect_list("file").over(group)
-    )
-    large = members.where(F.col("members") > listing_limit).withColumn(
-        "_files", F.lit(None).cast("array<string>")
-    )
-    suggestion = F.lit(SUGGESTION).alias("suggestion")
-    return small.select(
-        *columns, _explanation(F.lit(True)).alias("explanation"), suggestion
-    ).unionByName(large.select(*columns, _explanation(F.lit(False)).alias("explanation"), suggestion))
+    own = prints.groupBy("code_hash", "file").agg(F.count("*").alias("_own"))
+    counted = lookup_join(members, own.where("_own > 1"), ["code_hash", "file"], "_own", prints.count(), how="left")
+    counted = counted.withColumn("_own", F.coalesce("_own", F.lit(1)))
+    return counted.select(*columns, _explanation().alias("explanation"), F.lit(SUGGESTION).alias("suggestion"))
 
 
 def all_issues(functions: DataFrame, *, mode: str = "reference", texts: bool = True, **options) -> DataFrame:

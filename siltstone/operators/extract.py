@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.outline import COLUMNS, outline
+from siltstone.functions.outline import COLUMNS, outline, read_outline
 from siltstone.functions.text import has_docstring, imports_before, slice_lines
 
 _FOUND = (
@@ -64,3 +64,13 @@ def extract_functions(files: DataFrame, *, compat: bool = False, outliner: Outli
         F.col("file").alias("parent_file"),
         F.col("x.code").alias("code"),
     )
+
+
+def unread_files(files: DataFrame) -> DataFrame:
+    """Files (``path, language``) that give no functions because they are not of their language."""
+
+    @F.pandas_udf("boolean")
+    def unread(content: pd.Series, language: pd.Series) -> pd.Series:
+        return pd.Series([read_outline(text, lang) is None for text, lang in zip(content, language)], dtype=bool)
+
+    return files.where(unread("content", "language")).select("path", "language")

@@ -15,8 +15,10 @@ def hot_threshold(total_rows: int) -> int:
     return max(HOT_ROWS, int(total_rows * HOT_SHARE))
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, rows: str, total_rows: int) -> DataFrame:
-    """Inner join of many facts per key with one lookup row per key.
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, key: str | list[str], rows: str, total_rows: int, how: str = "inner"
+) -> DataFrame:
+    """Join of many facts per key with one lookup row per key, inner or left.
 
     ``lookup`` knows the number of facts of each key in column ``rows``.  The
     few hot keys are broadcast, so their facts stay where they are and are
@@ -24,7 +26,9 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, rows: str, total_
     """
     limit = hot_threshold(total_rows)
     if total_rows <= limit:
-        return facts.join(lookup, key)
+        return facts.join(lookup, key, how)
     hot = F.broadcast(lookup.where(F.col(rows) > limit))
     cold = lookup.where(F.col(rows) <= limit)
-    return facts.join(hot, key).unionByName(facts.join(cold, key))
+    if how == "inner":
+        return facts.join(hot, key).unionByName(facts.join(cold, key))
+    return facts.join(hot, key).unionByName(facts.join(hot, key, "left_anti").join(cold, key, how))

@@ -23,7 +23,10 @@ SHIPPED_BYTES = 64 << 20
 GRID_QUERIES = 4096
 GRID_BYTES = 64 << 20
 _QUERY_CHUNK = 512
+_ROW_CHUNK = 2048
 _PAIR_CHUNK = 1 << 16
+# Components beyond this have squares that double precision can't add up.
+LARGEST = 1e150
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -58,10 +61,24 @@ class _Nearest:
         return out
 
     def add(self, batch: pd.DataFrame) -> None:
-        if not len(batch) or not len(self.ids):
-            return
+        if len(self.ids):
+            for start in range(0, len(batch), _ROW_CHUNK):
+                self._add(batch.iloc[start : start + _ROW_CHUNK])
+
+    def _rough(self, part: slice, rows: np.ndarray, single: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Squared distances in single precision, in double where that overflows."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            product = (self.single[part] @ single.T).astype(np.float64)
+        if not np.isfinite(product).all():
+            product = self.vectors[part] @ rows.T
+        rough = self.norms[part, None] + norms[None, :] - 2.0 * product
+        return rough / 2.0 if self.metric == "cosine" else rough
+
+    def _add(self, batch: pd.DataFrame) -> None:
         rows = self._scaled(_matrix(batch["vector"]))
-        single, norms = rows.astype(np.float32), (rows**2).sum(axis=1)
+        with np.errstate(over="ignore"):
+            single = rows.astype(np.float32)
+        norms = (rows**2).sum(axis=1)
         scope = batch["scope"].to_numpy() if self.scope is not None else None
         # Single precision finds the candidates; the slack covers its rounding,
         # so that no row of the exact answer is missed.
@@ -69,26 +86,28 @@ class _Nearest:
         hits = []
         for start in range(0, len(self.ids), _QUERY_CHUNK):
             part = slice(start, start + _QUERY_CHUNK)
-            rough = self.norms[part, None] + norms[None, :] - 2.0 * (self.single[part] @ single.T)
-            if self.metric == "cosine":
-                rough /= 2.0
+            rough = self._rough(part, rows, single, norms)
+            allowed = np.ones(rough.shape, bool)
             if scope is not None:
                 asked = self.scope[part, None]
-                rough[~(pd.isna(asked) | (asked == scope[None, :]))] = np.inf
-            slack = unit * (np.sqrt(self.norms[part]) + np.sqrt(norms.max())) ** 2
+                allowed = pd.isna(asked) | (asked == scope[None, :])
+            slack = unit * (np.sqrt(self.norms[part, None]) + np.sqrt(norms[None, :])) ** 2
             worst = self.worst[part]
             if rough.shape[1] > self.k and np.isinf(worst).any():
-                worst = np.minimum(worst, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack)
-            q, c = np.nonzero((rough <= (worst + slack)[:, None]) & np.isfinite(rough))
+                most = np.where(allowed, rough + slack, np.inf)
+                worst = np.minimum(worst, np.partition(most, self.k - 1, axis=1)[:, self.k - 1])
+            q, c = np.nonzero(allowed & (rough <= worst[:, None] + slack))
             q = q + start
-            hits.append(pd.DataFrame({"q": q, "distance": self._exact(q, c, rows), "id": batch["id"].to_numpy()[c]}))
-        merged = pd.concat([self.best, *hits] if len(self.best) else hits, ignore_index=True)
-        merged = merged.sort_values(["q", "distance", "id"], kind="stable")
-        self.best = merged.groupby("q", sort=False).head(self.k)
+            found = pd.DataFrame({"q": q, "distance": self._exact(q, c, rows), "id": batch["id"].to_numpy()[c]})
+            hits.append(self._best(found))  # ties leave more candidates than hits
+        self.best = self._best(pd.concat([self.best, *hits] if len(self.best) else hits, ignore_index=True))
         kept = self.best.groupby("q")["distance"].agg(["size", "last"])
         full = kept[kept["size"] >= self.k]
         self.worst[full.index.to_numpy(dtype=np.int64)] = full["last"].to_numpy()
 
+    def _best(self, found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["q", "distance", "id"], kind="stable").groupby("q", sort=False).head(self.k)
+
     def result(self) -> pd.DataFrame:
         q = self.best["q"].to_numpy(dtype=np.int64)
         if not len(q):
@@ -147,6 +166,11 @@ def _grid(
     return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(search, schema)
 
 
+def _comparable() -> F.Column:
+    sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST))
+    return F.col("vector").isNotNull() & F.coalesce(sound, F.lit(False))
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -159,14 +183,16 @@ def nearest(
 
     ``queries`` has ``query_id`` and ``vector``, ``corpus`` has ``id`` and
     ``vector``.  If both have a column ``scope``, a query whose scope is not
-    null sees only rows of the same scope.  Equal distances rank by id.  Filter
+    null sees only rows of the same scope.  Equal distances rank by id.
+    Vectors that are null or hold a null, NaN or infinite component, or one
+    beyond ``LARGEST``, take no part on either side.  Filter
     ``corpus`` beforehand to search a part of it.
     """
     if metric not in ("l2sq", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     scoped = ["scope"] if "scope" in queries.columns and "scope" in corpus.columns else []
-    queries = queries.select("query_id", "vector", *scoped).where("vector IS NOT NULL")
-    corpus = corpus.select("id", "vector", *scoped).where("vector IS NOT NULL")
+    queries = queries.select("query_id", "vector", *scoped).where(_comparable())
+    corpus = corpus.select("id", "vector", *scoped).where(_comparable())
     schema = _hit_schema(queries, corpus)
     few = queries.limit(shipped_queries + 1).toPandas()
     dimensions = len(few["vector"].iloc[0]) if len(few) else 0

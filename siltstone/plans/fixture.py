@@ -93,6 +93,14 @@ FROM (SELECT event_id, CASE event_id % 22
 """
 
 
+# The conversations hold no turn that asks for debugging, so some user turns get the word.
+TURNS_SQL = """
+SELECT conv_id, turn, role,
+  CASE WHEN role = 'user' AND (conv_id + turn) % 11 = 0 THEN concat(text, ' Think again.') ELSE text END AS text
+FROM {conversations}
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -135,3 +143,7 @@ def files_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(QUESTIONS_SQL, events=table(spark, sf_dir, "events"))
+
+
+def turns_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TURNS_SQL, conversations=table(spark, sf_dir, "conversations"))

@@ -14,7 +14,7 @@ from siltstone.functions.rules import default_rules
 from siltstone.operators import report
 from siltstone.operators.chat import NO_HISTORY
 from siltstone.operators.duplicates import SUGGESTION
-from siltstone.plans.fixture import CORPUS_SQL, FILES_SQL, PATHS_SQL, QUESTIONS_SQL
+from siltstone.plans.fixture import CORPUS_SQL, FILES_SQL, PATHS_SQL, QUESTIONS_SQL, TURNS_SQL
 
 
 def _text(value: str) -> str:
@@ -101,14 +101,14 @@ _CTES = {
       GROUP BY k""",
     "groups": "SELECT h, count(*) AS members, min(k) AS lead_id FROM hashes GROUP BY h HAVING count(*) > 1",
     "members": "SELECT fn.*, h, members, lead_id FROM fn JOIN hashes USING (k) JOIN groups USING (h)",
-    "copies": """SELECT a.k AS k, coalesce(string_agg(b.file, ', ' ORDER BY b.k) FILTER (WHERE b.file <> a.file), '') AS others
-      FROM members a JOIN members b ON a.h = b.h GROUP BY a.k""",
+    "copies": """SELECT k, h, members, members - count(*) OVER (PARTITION BY h, file) AS others FROM members""",
     "issues": """SELECT 0 AS phase, k AS lead_id, k, rule_pos, rule_id, category, issue, severity, file, class_name,
         function, start_line, end_line FROM rule_rows
       UNION ALL SELECT 1, lead_id, k, 16, 'D1', 'duplication', 'Duplicate function detected', 'Medium', file,
         class_name, function, start_line, end_line FROM members""",
     "texts": f"""SELECT k, rule_pos, explanation, suggestion FROM rule_rows
-      UNION ALL SELECT k, 16, 'The same code is found in: ' || others, {_text(SUGGESTION)} FROM copies""",
+      UNION ALL SELECT k, 16, 'The same code is in ' || others || ' functions of other files; duplicate group '
+        || h || ' has ' || members || ' members.', {_text(SUGGESTION)} FROM copies""",
     "statements": "SELECT k, file, unnest(imports) AS statement, generate_subscripts(imports, 1) - 1 AS pos FROM fn",
     "targets": """SELECT k, file, pos, statement, CASE statement WHEN 'import os.path' THEN 'os.py'
       WHEN 'import a, b' THEN 'a,.py' WHEN 'from . import y' THEN '/.py' WHEN 'import java.util.List;' THEN 'java.py'
@@ -154,10 +154,11 @@ _CTES = {
     "kept": "SELECT * FROM issues WHERE severity IN ('High', 'Medium')",
     "numbered": """SELECT *, row_number() OVER (ORDER BY severity <> 'High', lower(severity), phase, lead_id, k, rule_pos) AS number
       FROM kept""",
-    "spoken": """SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
+    "turns": TURNS_SQL.format(conversations="conversations"),
+    "spoken": """SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM turns
       WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
-    "exchanges": """SELECT conv_id, turn, 'user:' || text || chr(10) || 'bot:' || next_text AS shown FROM spoken
-      WHERE role = 'user' AND next_role = 'assistant'""",
+    "exchanges": """SELECT conv_id, turn, 'user:' || coalesce(text, '') || chr(10) || 'bot:' || coalesce(next_text, '') AS shown
+      FROM spoken WHERE role = 'user' AND next_role = 'assistant' AND coalesce(lower(text), '') NOT LIKE '%think%'""",
 }
 
 _ROUTE = "CASE " + " ".join(
@@ -223,6 +224,7 @@ def _statements() -> dict[str, str]:
         "normalized_code_hash": "SELECT k AS func_id, h AS code_hash FROM hashes",
         "duplicate_groups": "SELECT h AS code_hash, members, lead_id FROM groups",
         "duplicate_members": "SELECT h AS code_hash, k AS func_id, file, members, lead_id FROM members",
+        "duplicate_group_files": "SELECT h AS code_hash, file, count(*) AS functions FROM members GROUP BY h, file",
         "duplicate_issues": f"""SELECT {_FLAT}, lead_id, explanation, suggestion FROM issues JOIN texts USING (k, rule_pos)
           WHERE rule_pos = 16""",
         "duplicate_documents": """SELECT md5(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_doc
@@ -333,7 +335,7 @@ def _statements() -> dict[str, str]:
           WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""",
         "chat_memory_confidence": "SELECT query_id, hits, round(confidence, 6) AS confidence FROM confidence",
         "retrieval_gate": f"SELECT * FROM ({_hits('code_vec', 3)}) g WHERE query_id IN (SELECT query_id FROM confidence WHERE confidence < 0.5)",
-        "route_debug": "SELECT conv_id, turn, lower(text) LIKE '%think%' AS debug FROM conversations",
+        "route_debug": "SELECT conv_id, turn, lower(text) LIKE '%think%' AS debug FROM turns",
         "context_text": f"""SELECT vec_id AS query_id, coalesce(string_agg('assistant: ' || text, chr(10) ORDER BY rank), '{NO_HISTORY}') AS text
           FROM embeddings LEFT JOIN memory_hits ON q = vec_id GROUP BY vec_id""",
         "report_issues": "SELECT k AS func_id, rule_pos, severity, category, issue FROM kept",

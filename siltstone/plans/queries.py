@@ -21,6 +21,7 @@ from siltstone.plans.fixture import (
     paths_view,
     questions_view,
     table,
+    turns_view,
 )
 from siltstone.session import durable, spread
 from siltstone.streaming.rules_stream import run_available, stream_issues
@@ -194,6 +195,12 @@ def duplicate_members(spark, sf_dir):
     return duplicates.duplicate_members(durable(prints))
 
 
+@query
+def duplicate_group_files(spark, sf_dir):
+    prints = duplicates.fingerprints(functions_view(spark, sf_dir)).select("func_id", "file", "code_hash")
+    return duplicates.duplicate_group_files(durable(prints))
+
+
 @query
 def duplicate_issues(spark, sf_dir):
     return _flat(duplicates.duplicate_issues(functions_view(spark, sf_dir)), "lead_id", "explanation", "suggestion")
@@ -507,7 +514,7 @@ def chat_memory_rows(spark, sf_dir):
 
 @query
 def chat_last5_window(spark, sf_dir):
-    return chat.last_exchanges(table(spark, sf_dir, "conversations"))
+    return chat.last_exchanges(turns_view(spark, sf_dir))
 
 
 @query
@@ -525,7 +532,7 @@ def retrieval_gate(spark, sf_dir):
 
 @query
 def route_debug(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
+    turns = turns_view(spark, sf_dir)
     return turns.select("conv_id", "turn", wants_debugging(F.col("text")).alias("debug"))
 
 

@@ -106,3 +106,11 @@ def test_function_sink(spark, functions, tmp_path):
         tables.write_functions(rows, str(tmp_path / fmt), fmt)
         assert tables.read_functions(spark, str(tmp_path / fmt), fmt).collect() == rows.collect()
     assert F is not None
+
+
+def test_debugging_turns_have_no_window(spark):
+    rows = [(1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "Think!"), (1, 4, "assistant", "c"),
+            (1, 5, "user", None), (1, 6, "assistant", "d"), (1, 7, "user", "e"), (1, 8, "assistant", "f")]
+    found = chat.last_exchanges(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    assert {r.turn: r.window_text for r in found.collect()} == {
+        1: "", 5: "user:a\nbot:b", 7: "user:a\nbot:b\nuser:\nbot:d"}

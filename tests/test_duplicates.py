@@ -16,19 +16,20 @@ def test_one_issue_per_member(functions):
         (4, "a.py", None, "k", "def f():\n  x = 2", (), ()),
     )
     found = {r.func_id: r for r in duplicate_issues(frame).collect()}
-    assert {i: r.explanation for i, r in found.items()} == {
-        1: "The same code is found in: b.py",
-        2: "The same code is found in: a.py, a.py",
-        3: "The same code is found in: b.py",
+    assert {i: r.explanation.split("; ")[0] for i, r in found.items()} == {
+        1: "The same code is in 1 functions of other files",
+        2: "The same code is in 2 functions of other files",
+        3: "The same code is in 1 functions of other files",
     }
+    assert all(r.explanation.endswith(" has 3 members.") for r in found.values())
     row = found[2]
     assert (row.class_name, row.lines, row.category, row.severity, row.lead_id, row.phase) == (
         "C", [1, 4], "duplication", "Medium", 1, 1)
 
 
-def test_members_of_one_file_list_nothing(functions):
+def test_members_of_one_file_have_none_elsewhere(functions):
     found = duplicate_issues(same(functions, 2, lambda i: "a.py")).collect()
-    assert [r.explanation for r in found] == ["The same code is found in: "] * 2
+    assert all(r.explanation.startswith("The same code is in 0 functions of other files;") for r in found)
 
 
 def test_modes(functions):
@@ -40,13 +41,16 @@ def test_modes(functions):
     assert duplicate_issues(frame, "balanced").count() == 0
 
 
-def test_large_groups_stay_whole(functions):
-    frame = same(functions, 40, lambda i: f"m{i}.py")
-    found = duplicate_issues(frame, listing_limit=10).collect()
-    assert len(found) == 40 and all("39 other functions of duplicate group" in r.explanation for r in found)
-    assert len({r.func_id for r in found}) == 40
-    listed = duplicate_issues(frame, listing_limit=40).where("func_id = 3").first()
-    assert listed.explanation == "The same code is found in: " + ", ".join(f"m{i}.py" for i in range(40) if i != 3)
+def test_groups_of_any_size_have_one_form(spark, functions):
+    one = functions((0, "x.py", None, "f", "def f():\n    return 1", (), ()))
+    frame = one.drop("func_id").crossJoin(spark.range(10_000).withColumnRenamed("id", "func_id")).withColumn("file", F.concat(F.lit("m"), F.col("func_id") % 100))
+    found = duplicate_issues(frame)
+    shapes = found.groupBy(F.regexp_replace("explanation", "group [0-9a-f]+", "group x").alias("e")).count().collect()
+    assert [tuple(r) for r in shapes] == [
+        ("The same code is in 9900 functions of other files; duplicate group x has 10000 members.", 10_000)]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    files = duplicates.duplicate_group_files(duplicates.durable(duplicates.fingerprints(frame)))
+    assert {(r.file, r.functions) for r in files.collect()} == {(f"m{i}", 100) for i in range(100)}
 
 
 def test_hot_group_is_not_gathered(functions, monkeypatch):

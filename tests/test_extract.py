@@ -1,7 +1,7 @@
 import pytest
 
 from siltstone.functions.outline import outline
-from siltstone.operators.extract import extract_functions
+from siltstone.operators.extract import extract_functions, unread_files
 from siltstone.schemas import FILES, FUNCTIONS
 
 SOURCES = {
@@ -84,3 +84,18 @@ def test_another_language_can_be_added(spark):
     files = spark.createDataFrame([("x.sql", "sql", "select 1\nselect 2")], FILES)
     rows = extract_functions(files, outliner=lambda text, lang, compat: [(None, "q", 2, 2, [], 0, [])]).collect()
     assert [(r.function, r.code) for r in rows] == [("q", "select 2")]
+
+
+def test_value_after_a_long_comment():
+    text = "foo(/*" + " c" * 5000 + "*/ function bar(a) {\n});\nfunction kept() {}\nreturn  \n\n function no() {}\n"
+    assert [r[1] for r in outline(text, "javascript")] == ["kept"]
+
+
+def test_long_branch_chain():
+    text = "def f(x):\n    if x == 0:\n        pass\n" + "".join(f"    elif x == {i}:\n        pass\n" for i in range(5000))
+    assert [(r[1], r[5]) for r in outline(text, "python")] == [("f", 3)]
+
+
+def test_unread_files_are_counted(spark):
+    rows = [(p, LANGUAGE[p.rsplit(".")[-1]], text) for p, text in SOURCES.items()]
+    assert {r.path for r in unread_files(spark.createDataFrame(rows, FILES)).collect()} == {"broken.py", "null.py"}

@@ -147,3 +147,19 @@ def test_answers(spark, data):
         4: ("complexity", 0, 0), 5: ("general", 5, 5), 6: ("security", 10, 5)}
     assert found[0].summary == "Found 10 security issues and 5 related code functions."
     assert found[5].summary == "Found 5 relevant code functions and 5 related issues."
+
+
+@pytest.mark.parametrize("shipped", [8192, 0])
+def test_odd_components_lose_no_hits(spark, shipped):
+    rows = [[0.0, 1.0], [float("nan"), 1.0], [1e20, 1.0], [float("inf"), 0.0], [0.0, 1.5], [None, 1.0]]
+    corpus = spark.createDataFrame(list(enumerate(rows)), "id bigint, vector array<float>").coalesce(1)
+    asked = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1e20, 1.0])], "query_id bigint, vector array<float>")
+    found = {(r.query_id, r["rank"]): r.id for r in nearest(asked, corpus, 2, shipped_queries=shipped).collect()}
+    assert found[0, 1] == 0 and found[0, 2] == 4 and found[1, 1] == 2 and len(found) == 4
+
+
+def test_many_equal_vectors(spark):
+    corpus = spark.range(10_000).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    found = nearest(asked, corpus, 3).groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    assert len(found) == 300 and all(r.ids == [0, 1, 2] for r in found)
