@@ -53,7 +53,7 @@ SMOOTHING = (0.25, 0.5, 0.25)
 THRESHOLD = 0.5  # of the standard deviation of the fused scores of a page
 LINK_SHARE = 0.8  # a path with more of its text in links is made of links
 LINK_WEIGHT = 0.05
-_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>?|[!?/][^>]*>?)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^"'>])*+)>?|[!?/][^>]*>?)""", re.S)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
