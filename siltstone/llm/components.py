@@ -11,27 +11,23 @@ from siltstone.session import discard, durable
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of all nodes of ``links(a, b)``; the root is the smallest node reachable.
 
-    Each round is two joins whose sides are the links and the labels; a hub's
-    links are reduced by a partial minimum before they meet.  A round moves the
-    smallest label one link further and then halves the way to it.
+    A round is one job: a node takes the smallest of its label, its neighbours'
+    labels and its label's label.  A hub's links are reduced by a partial
+    minimum before they meet.
     """
-    both = durable(
-        links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    )
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+    forth = links.where("a <> b").select("a", "b")
+    both = durable(forth.unionByName(forth.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    nearest = both.groupBy("a").agg(F.min("b").alias("b"))
+    labels = durable(nearest.select(F.col("a").alias("node"), F.lit(None).cast(both.schema["a"].dataType).alias("before"), F.least("a", "b").alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        spread = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("next"))
-        spread = durable(spread)
-        up = spread.select(F.col("node").alias("_of"), F.col("next").alias("_far"))
-        moved = spread.join(up, F.col("next") == F.col("_of"), "left").select(
-            "node", "root", F.least("next", F.coalesce("_far", "next")).alias("next")
+        far = labels.select(F.col("node").alias("_of"), F.col("root").alias("far"))
+        moved = labels.select("node", "root").join(near, F.col("node") == F.col("a")).join(far, F.col("root") == F.col("_of"), "left")
+        moved = durable(
+            moved.select("node", F.col("root").alias("before"), F.least("root", "near", F.coalesce("far", "root")).alias("root"))
         )
-        moved = durable(moved)
-        done = moved.where("root <> next").isEmpty()
-        discard(labels, spread)
-        labels = moved.select("node", F.col("next").alias("root"))
-        labels._stored_at = moved._stored_at
-        if done:
+        discard(labels)
+        labels = moved
+        if moved.where("root <> before").isEmpty():
             discard(both)
             return labels

@@ -20,7 +20,10 @@ all pairs are compared: in each round some members are pivots, every member of
 another component is verified against them, and pivots leave the entry, which
 is closed as soon as one component holds all that is left of it.  The number of
 pivots grows by rounds, so no pair of different components remains unverified
-and no link between different components is lost.
+and no link between different components is lost.  Tokens that no other indexed
+set holds bound the overlap of a set with any other: pairs, and sets whose entry
+has no partner within the bound, need no verification, and sets with few such
+tokens, the middle of their group, are pivots first.
 
 Defined cases: null texts and texts without words have an empty set and are
 alone; texts of fewer words than a shingle have the whole sequence as their one
@@ -46,7 +49,7 @@ SIMILAR = (85, 100)  # least similarity as a fraction
 COUNTED = 0.3125  # share of the hash space whose tokens are counted and come first
 FREQUENT = 12  # documents from which on a token is frequent
 TOKENS_PER_CLASS = 32  # of a set, for each class of frequent tokens
-PIVOT_GROWTH = 6  # pivots of an index entry: 1, 6, 36, ... by rounds
+PIVOT_GROWTH = 16  # pivots of an index entry: 1, 16, 256, ... by rounds
 _LIMIT = np.int64(int(-(2**63) + COUNTED * 2**64))
 
 
@@ -216,24 +219,48 @@ def _linked(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
     return joined.select("a", "b", (similar[1] * F.col("_i") >= similar[0] * (F.col("_s") - F.col("_i"))).alias("linked"))
 
 
+def own_tokens(sets: DataFrame) -> DataFrame:
+    """``node, alone``: how many of its tokens no other of the ``sets(node, tokens)`` holds, where there are any."""
+    each = sets.select("node", F.explode("tokens").alias("token"))
+    once = each.groupBy("token").agg(F.count("*").alias("_n"), F.min("node").alias("node")).where("_n = 1")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
+
+
+def _within(overlap, total, similar):
+    """Whether sets of ``total`` tokens together can be similar with at most this overlap."""
+    return similar[1] * overlap >= similar[0] * (total - overlap)
+
+
 def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame:
-    """``node, root`` of the nodes with links, from index entries ``live(sig, node, n)``."""
+    """``node, root`` of the nodes with links, from index entries ``live(sig, node, n, common)``.
+
+    ``common`` is the number of tokens that some other of the ``sets`` holds.
+    """
     kind = live.schema["node"].dataType
     roots = live.sparkSession.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
-    failed, number = None, 1
+    failed, number, before = None, 1, None
     while True:
-        rows = live.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-        ends = rows.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
-        rows = durable(rows.join(ends.select("sig"), "sig", "left_semi"))
+        rows = live.join(roots, "node", "left").select(
+            "sig", "node", "n", "common", F.coalesce("root", "node").alias("root")
+        )
+        ends = rows.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("n").alias("_least"))
+        rows = rows.join(ends.where("_lo <> _hi").select("sig", "_least"), "sig")
+        # The best partner is as small as the entry has, but not smaller than the overlap.
+        rows = rows.where(_within(F.col("common"), F.col("n") + F.greatest("_least", "common"), similar)).drop("_least")
+        rows = durable(rows)
+        if before is not None:
+            discard(before)
+        before = rows
         if rows.isEmpty():
             discard(rows)
             return roots
-        order = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(number)), "node")
+        middle = F.floor(256 * (F.col("n") - F.col("common")) / F.col("n"))
+        order = Window.partitionBy("sig").orderBy(middle, F.xxhash64("node"), "node")
         pivots = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= number)
-        pivots = durable(
-            pivots.select("sig", F.col("node").alias("_pivot"), F.col("n").alias("_pn"), F.col("root").alias("_proot"))
+        pivots = pivots.select(
+            "sig", F.col("node").alias("_pivot"), F.col("n").alias("_pn"), F.col("common").alias("_pc"), F.col("root").alias("_proot")
         )
-        near = (similar[1] * F.least("n", "_pn") >= similar[0] * F.greatest("n", "_pn")) & (F.col("root") != F.col("_proot"))
+        near = _within(F.least("common", "_pc"), F.col("n") + F.col("_pn"), similar) & (F.col("root") != F.col("_proot"))
         pairs = rows.join(pivots, "sig").where(near).select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b"))
         pairs = pairs.distinct()
         if failed is not None:
@@ -241,20 +268,22 @@ def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame
         verified = durable(_linked(pairs, sets, similar))
         missed = verified.where("NOT linked").select("a", "b")
         failed = missed if failed is None else failed.unionByName(missed)
-        own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
         links = verified.where("linked").select("a", "b")
-        for end in ("a", "b"):
-            links = links.join(own, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_root", end)).drop("_node", "_root")
-        merged = components(links)
-        kept = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
-        kept = kept.select("node", F.coalesce("_new", "root").alias("root"))
-        fresh = merged.join(roots.select("node"), "node", "left_anti")
-        later = durable(kept.unionByName(fresh))
-        discard(roots, merged)
-        roots = later
-        compared = pivots.select("sig", F.col("_pivot").alias("node"))
-        live = durable(rows.select("sig", "node", "n").join(compared, ["sig", "node"], "left_anti"))
-        discard(rows, pivots)
+        if not links.isEmpty():
+            own = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+            for end in ("a", "b"):
+                links = links.join(own, F.col(end) == F.col("_node"), "left")
+                links = links.withColumn(end, F.coalesce("_root", end)).drop("_node", "_root")
+            merged = components(links)
+            kept = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left")
+            kept = kept.select("node", F.coalesce("_new", "root").alias("root"))
+            fresh = merged.select("node", "root").join(roots.select("node"), "node", "left_anti")
+            later = durable(kept.unionByName(fresh))
+            discard(roots, merged)
+            roots = later
+        live = rows.select("sig", "node", "n", "common").join(
+            pivots.select("sig", F.col("_pivot").alias("node")), ["sig", "node"], "left_anti"
+        )
         number *= PIVOT_GROWTH
 
 
@@ -293,7 +322,9 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similar=SIMILAR) ->
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     whole = token_sets(texts, size).join(wanted, ["doc_id", "tag"]).where(F.size("tokens") == F.col("n"))
     whole = durable(whole.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "tokens"))
-    roots = link_classes(live, whole, similar)
+    common = F.col("n") - F.coalesce("alone", F.lit(0))
+    entries = live.join(own_tokens(whole), "node", "left").select("sig", "node", "n", common.alias("common"))
+    roots = link_classes(entries, whole, similar)
     discard(live, whole)
 
     members = chosen.join(sets.select("n", "h1", "h2", "node"), ["n", "h1", "h2"]).select("doc_id", "node")
