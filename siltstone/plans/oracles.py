@@ -7,9 +7,6 @@ results from plain joins over the whole tables.
 
 from __future__ import annotations
 
-from siltstone.config import DEFAULT_DIRS, DEFAULT_PATTERNS
-from siltstone.functions.complexity import BRANCH_SIGNS, BRANCH_WORDS
-from siltstone.functions.questions import ROUTES
 from siltstone.functions.rules import default_rules
 from siltstone.operators import report
 from siltstone.operators.chat import NO_HISTORY
@@ -17,6 +14,23 @@ from siltstone.operators.duplicates import SUGGESTION
 from siltstone.plans.fixture import CORPUS_SQL, FILES_SQL, PATHS_SQL, QUESTIONS_SQL, TURNS_SQL
 
 
+# Fixed values, spelled out here so that a word missing in the engine shows.
+BRANCH_WORDS = "if elif switch case default for while do foreach try catch except finally and or".split()
+BRANCH_SIGNS = ("&&", r"\|\|", r"\?")
+ROUTES = {
+    "security": ("security", "vulnerability", "injection", "crypto", "secret"),
+    "performance": ("performance", "bottleneck", "slow", "optimize"),
+    "duplication": ("duplicate", "copy", "similar"),
+    "documentation": ("documentation", "docstring", "comment"),
+    "complexity": ("complex", "complexity", "nested"),
+}
+DEFAULT_PATTERNS = ("*.min.js", "*.bundle.js", "*.chunk.js", "*.vendor.js")
+DEFAULT_DIRS = (
+    "__pycache__ node_modules .git .svn .hg build dist target out bin obj lib "
+    ".vscode .idea venv env .env env.bak venv.bak analysis_output chroma_db *.egg-info *.dist-info"
+).split()
+
+
 def _text(value: str) -> str:
     """A string literal; line feeds are spelled chr(10)."""
     return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in value.split("\n"))

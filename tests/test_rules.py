@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import rules as R
-from siltstone.functions.complexity import BRANCH_WORDS, cyclomatic_complexity
+from siltstone.functions.complexity import cyclomatic_complexity
 from siltstone.functions.normalize import normalized_code
 from siltstone.functions.text import has_docstring, imports_before, strip
 from siltstone.operators.issues import issues_of_rule, rule_issues
@@ -27,6 +27,8 @@ TEXTS = st.lists(
 )
 PROPERTY = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 
+WORDS = "if elif switch case default for while do foreach try catch except finally and or".split()
+
 
 def computed(spark, texts, *columns):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, code string").repartition(4, "i")
@@ -35,7 +37,7 @@ def computed(spark, texts, *columns):
 
 def complexity_spec(code):
     low = code.lower()
-    whole = sum(len(re.findall(rf"\b{w}\b", low)) for w in BRANCH_WORDS)
+    whole = sum(len(re.findall(rf"\b{w}\b", low)) for w in WORDS)
     whole += len(re.findall(r"\belse\s+if\b", low)) + low.count("&&") + low.count("||") + low.count("?")
     open_ = sum(map(code.count, "{[(")) - sum(map(code.count, "}])"))
     return int(1 + whole + 0.5 * low.count("=>") + 0.5 * max(0, open_))
