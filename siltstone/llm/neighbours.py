@@ -7,8 +7,8 @@ NN-descent joins every node with its neighbours and a sample of those that have
 it as a neighbour: these meet each other, and pairs that improve a list are
 merged.  Nodes are dealt into blocks of neighbouring codes; a block receives
 each vector that its nodes refer to once, as bytes.  Queries, which are rows of
-the table, then search the graph greedily from their own list: the best
-unexpanded nodes of the pool are expanded, their neighbours scored, and the best
+the table, then search the graph greedily from their own list and from the
+longest vectors: the best unexpanded nodes of the pool are expanded, their neighbours scored, and the best
 kept.  The pool is scored at last in double precision on the original vectors.
 
 Bounded by parameters: lists (``LIST``), sampled reverse neighbours
@@ -41,11 +41,14 @@ BLOCK = 1024
 ROUNDS = 4
 ENOUGH = 0.03  # share of list entries that a round must change to go on
 EMIT = 16  # improvements of a node that one block passes on
-POOL = 50
+POOL = 64
 EXPANDED = 8
-SEARCH_ROUNDS = 2
+SEARCH_ROUNDS = 10
+ENTRIES = 32  # longest vectors that every search begins from, too
 SEED = 11
 GRAPH = "pos bigint, ids array<bigint>, sims array<float>"
+# What one block passes on to another, packed: for each entry its node, the neighbour, the likeness.
+MESSAGE = "to_block int, pos array<bigint>, ids array<bigint>, sims array<float>"
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
@@ -96,7 +99,7 @@ def clean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 class Nodes:
-    """Distinct vectors: ``table(pos, node, embedding, code, scale)`` and their ``members(vec_id, node)``."""
+    """Distinct vectors: ``table(pos, node, embedding, bytes, scale, length, keys)`` and their ``members(vec_id, node)``."""
 
     def __init__(self, vectors: DataFrame):
         digest = [F.xxhash64("embedding"), F.xxhash64(F.lit("second"), F.col("embedding"))]
@@ -107,7 +110,7 @@ class Nodes:
         length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
         longest, self.count = one.agg(F.max(length), F.count("*")).first()
         coded = one.select(F.col("vec_id").alias("node"), "embedding").mapInArrow(
-            _coder(float(longest or 0.0)), "node bigint, embedding array<float>, bytes binary, scale float, keys array<bigint>"
+            _coder(float(longest or 0.0)), "node bigint, embedding array<float>, bytes binary, scale float, length double, keys array<bigint>"
         )
         coded = durable(coded.withColumn("_key", F.col("keys")[0]))
         self.table = durable(with_position(coded, "_key", "node", name="pos").drop("_key"))
@@ -121,7 +124,8 @@ def _coder(longest: float):
             if not len(batch):
                 continue
             x = values.astype(np.float64).reshape(len(batch), -1)
-            rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0.0))
+            length = np.sqrt((x * x).sum(1))
+            rest = np.sqrt(np.maximum(longest**2 - length**2, 0.0))
             x = np.column_stack([x, rest])
             planes = np.random.default_rng(SEED).normal(size=(TABLES, x.shape[1], BITS))
             weight = 1 << np.arange(BITS)[::-1]
@@ -132,9 +136,10 @@ def _coder(longest: float):
                 *batch.columns,
                 pa.array([row.tobytes() for row in data], pa.binary()),
                 pa.array(scale.astype(np.float32)),
+                pa.array(length),
                 _lists(keys.ravel(), np.full(len(x), TABLES), pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "embedding", "bytes", "scale", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "embedding", "bytes", "scale", "length", "keys"])
 
     return run
 
@@ -212,7 +217,21 @@ def _meetings(edges: pa.Table, vectors: pa.Table) -> pa.Table:
             held = top(*(np.concatenate(c) for c in zip(*parts, strict=True)), EMIT)
             parts, waiting = [held], 0
     of, ids, sims = held
-    return pa.Table.from_batches([_graph_batch(known[of], known[ids], sims)])
+    of, ids = known[of], known[ids]  # ascending, so blocks are runs
+    to, counts = np.unique(of // BLOCK, return_counts=True)
+    columns = [pa.array(to.astype(np.int32)), *(_lists(c, counts, kind) for c, kind in ((of, pa.int64()), (ids, pa.int64())))]
+    columns.append(_lists(sims.astype(np.float32), counts, pa.float32()))
+    return pa.Table.from_arrays(columns, ["to_block", "pos", "ids", "sims"])
+
+
+def _improved(lists: pa.Table, messages: pa.Table) -> pa.Table:
+    """The lists of one block after all messages to it."""
+    pos = lists.column("pos").to_numpy()
+    ids, row = _flat(lists.column("ids"))
+    sims, _ = _flat(lists.column("sims"))
+    of, more, likeness = (_flat(messages.column(c))[0] for c in ("pos", "ids", "sims"))
+    merged = top(np.concatenate([pos[row], of]), np.concatenate([ids, more]), np.concatenate([sims, likeness]), LIST)
+    return pa.Table.from_batches([_graph_batch(*merged)])
 
 
 def improve(nodes: Nodes, graph: DataFrame, number: int) -> tuple[DataFrame, float]:
@@ -227,8 +246,9 @@ def improve(nodes: Nodes, graph: DataFrame, number: int) -> tuple[DataFrame, flo
     needed = joined.select(F.col("block").alias("of_block"), F.explode("near").alias("pos")).distinct()
     least = F.when(F.size("sims") < LIST, F.lit(float("-inf"))).otherwise(F.array_min("sims")).alias("least")
     known = nodes.table.select("pos", "bytes", "scale").join(graph.select("pos", least), "pos")
-    found = joined.groupBy("block").cogroup(needed.join(known, "pos").groupBy("of_block")).applyInArrow(_meetings, GRAPH)
-    later = _merged(graph.unionByName(found))
+    found = joined.groupBy("block").cogroup(needed.join(known, "pos").groupBy("of_block")).applyInArrow(_meetings, MESSAGE)
+    placed = graph.select(block.alias("block"), "pos", "ids", "sims")
+    later = durable(placed.groupBy("block").cogroup(found.groupBy("to_block")).applyInArrow(_improved, GRAPH))
     old = graph.select("pos", F.col("ids").alias("old"))
     entries, fresh = later.join(old, "pos").agg(
         F.sum(F.size("ids")), F.sum(F.size(F.array_except("ids", "old")))
@@ -268,27 +288,48 @@ def _expand(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_graph_batch(of, ids, sims)])
 
 
+def _scored(nodes: Nodes, wanted: DataFrame) -> DataFrame:
+    """Pools after the ``fresh`` candidates of ``wanted(pos, ids, sims, fresh)`` are scored, block by block."""
+    wanted = durable(wanted.select(F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), "pos", "ids", "sims", "fresh"))
+    needed = wanted.select(F.col("block").alias("of_block"), F.explode(F.array_append("fresh", F.col("pos"))).alias("pos"))
+    known = needed.distinct().join(nodes.table.select("pos", "bytes", "scale"), "pos")
+    moved = durable(wanted.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_expand, GRAPH))
+    discard(wanted)
+    return moved
+
+
 def search(nodes: Nodes, graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """GRAPH of pools of the nodes in ``queries(pos)``, by greedy search from their own lists."""
-    pools = durable(graph.join(queries, "pos", "left_semi"))
-    done = durable(pools.select("pos", F.array().cast("array<bigint>").alias("done")))
-    block = F.floor(F.col("pos") / BLOCK).cast("int").alias("block")
+    """GRAPH of pools of the nodes in ``queries(pos)``, by greedy search of the graph.
+
+    The search begins from the list of the query itself and from a few of the
+    longest vectors, where the largest inner products are if lengths differ.
+    """
+    none, own = F.array().cast("array<bigint>"), F.array("pos")
+    longest = nodes.table.orderBy(F.desc("length"), "pos").limit(ENTRIES)
+    entries = F.array(*(F.lit(r.pos).cast("bigint") for r in longest.select("pos").collect()))
+    start = queries.select("pos").join(graph.select("pos", "ids"), "pos", "left")
+    first = F.array_except(F.array_union(F.coalesce("ids", none), entries), own)
+    pools = _scored(
+        nodes, start.select("pos", none.alias("ids"), F.array().cast("array<float>").alias("sims"), first.alias("fresh"))
+    )
+    done = pools.select("pos", none.alias("done"))
     for _ in range(SEARCH_ROUNDS):
-        state = pools.join(done, "pos")
         chosen = F.slice(F.array_except("ids", "done"), 1, EXPANDED).alias("chosen")
-        state = durable(state.select("pos", "ids", "sims", "done", chosen))
+        state = durable(pools.join(done, "pos").select("pos", "ids", "sims", "done", chosen))
         reached = state.select("pos", F.explode("chosen").alias("_at")).join(
             graph.select(F.col("pos").alias("_at"), F.col("ids").alias("_next")), "_at"
         )
         reached = reached.groupBy("pos").agg(F.array_distinct(F.flatten(F.collect_list("_next"))).alias("_next"))
-        fresh = F.array_except(F.array_except("_next", "ids"), F.array("pos")).alias("fresh")
-        wanted = durable(state.join(reached, "pos").select(block, "pos", "ids", "sims", fresh))
-        needed = wanted.select(F.col("block").alias("of_block"), F.explode(F.array_append("fresh", F.col("pos"))).alias("pos")).distinct()
-        known = needed.join(nodes.table.select("pos", "bytes", "scale"), "pos")
-        moved = durable(wanted.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_expand, GRAPH))
-        done = durable(state.select("pos", F.concat("done", "chosen").alias("done")))
-        discard(pools, state, wanted)
-        pools = moved
+        fresh = F.array_except(F.array_except(F.coalesce("_next", none), "ids"), own).alias("fresh")
+        moved = _scored(nodes, state.join(reached, "pos", "left").select("pos", "ids", "sims", fresh))
+        entered = moved.join(state.select("pos", F.col("ids").alias("old")), "pos").agg(
+            F.sum(F.size("ids")), F.sum(F.size(F.array_except("ids", "old")))
+        )
+        entries_now, new = entered.first()
+        discard(pools)
+        pools, done = moved, state.select("pos", F.concat("done", "chosen").alias("done"))
+        if (new or 0) < ENOUGH * (entries_now or 0):
+            break
     return pools
 
 

