@@ -13,9 +13,11 @@ shuffle, so a group that holds a third of all rows is no special case.
 Statistics are whole thousandths, so sums are exact and reruns agree.
 
 Defined cases: a null text has no words; null language and null source are
-values of their own; groups with fewer than ``LEAST`` rows that pass the base
-rules have no estimate and are judged by the base rules alone; repeated rows
-each count; an empty table gives an empty table.
+values of their own; a group with fewer than ``LEAST`` rows that pass the base
+rules is judged by the estimate of its language, and that of a language with as
+few by the estimate of all rows; only a table with fewer such rows altogether
+has no estimate and is judged by the base rules alone; repeated rows each count;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from siltstone.session import durable
 
 MIN_WORDS = 50
 COVERAGE = 0.75  # share of a group that an estimate rests on
-LEAST = 100  # rows of a group that passes for an estimate
+LEAST = 30  # rows that pass, five for each statistic, for an estimate
 STEPS = 4
 CERTAINTY = 1 - 1e-6  # of the chi-square bound
 UNIT = 1000  # statistics are kept in thousandths
@@ -213,15 +215,47 @@ def robust_estimates(vectors: DataFrame, groups: int) -> DataFrame:
     return durable(current.groupBy("_group").agg(best).select("_group", "best.centre", "best.inverse"))
 
 
+ALL = "all"  # the group of all rows
+
+
+def _wider(lang: str) -> Column:
+    """The group of all rows of a language; the name is never that of a smaller group, which begins with a brace."""
+    return F.concat(F.lit("lang "), F.to_json(F.struct(lang)))
+
+
+def _homes(sizes: DataFrame) -> DataFrame:
+    """``_group, _lang, _home``: the smallest group around ``_group`` with enough rows for an estimate, null if there is none."""
+    langs = sizes.groupBy("_lang").agg(F.sum("n").alias("_of_lang"))
+    whole = sizes.agg(F.sum("n").alias("_of_all"))
+    home = (
+        F.when(F.col("n") >= LEAST, F.col("_group"))
+        .when(F.col("_of_lang") >= LEAST, F.col("_lang"))
+        .when(F.col("_of_all") >= LEAST, F.lit(ALL))
+    )
+    return sizes.join(langs, "_lang").crossJoin(F.broadcast(whole)).select("_group", "_lang", home.alias("_home"))
+
+
+def _members(homes: DataFrame) -> DataFrame:
+    """``_group, _fit``: each estimate that is needed and the groups whose rows it rests on."""
+    needed = homes.select(F.col("_home").alias("_fit")).distinct()
+    around = homes.select("_group", F.explode(F.array("_group", "_lang", F.lit(ALL))).alias("_fit"))
+    return around.join(needed, "_fit", "left_semi").select("_group", "_fit")
+
+
 def judge(docs: DataFrame, certainty: float = CERTAINTY) -> DataFrame:
     """``doc_id, lang, source``, the counts, ``base_failed``, ``distance`` (squared, null without estimate) and ``kept``."""
     group = F.to_json(F.struct("lang", "source"))
     table = durable(
         text_counts(docs).withColumn("base_failed", base_failed()).withColumn("_group", group).select("*", *_statistics())
     )
+    passed = F.count_if(~F.col("base_failed")).alias("n")
+    sizes = durable(table.groupBy("_group", _wider("lang").alias("_lang")).agg(passed))
+    groups = sizes.count()
+    homes = durable(_homes(sizes))
     vectors = table.where(~F.col("base_failed")).select("_group", *STATISTICS)
-    groups = table.select("_group").distinct().count()
-    estimates = robust_estimates(vectors, groups)
+    fitted = durable(_with(vectors, _members(homes), groups).drop("_group").withColumnRenamed("_fit", "_group"))
+    estimates = robust_estimates(fitted, groups).withColumnRenamed("_group", "_home")
+    estimates = durable(homes.select("_group", "_home").join(estimates, "_home").drop("_home"))
     if groups <= MAX_BROADCAST_GROUPS:
         judged = table.join(F.broadcast(estimates), "_group", "left")
     else:

@@ -258,6 +258,28 @@ def test_outliers_of_a_group(spark, empty):
     assert outliers.judge(empty).collect() == []
 
 
+def plain_text(i, lines=10):
+    own = random.Random(i)
+    word = lambda: own.choice(["alpha", "be", "gammas", "delta", "eta"]) + str(own.randrange(4000))
+    return "\n".join(" ".join(word() for _ in range(15 + i % 9)) for _ in range(lines))
+
+
+def test_outliers_of_small_groups_and_of_any(spark):
+    schema = "doc_id bigint, text string, lang string, source string"
+    junk = lambda i: " ".join(f"w{i + k}***###" for k in range(200))
+    # Groups of 20, 40 and 99 rows, three rows of another language, and in each a planted text.
+    sizes = {("en", "a"): 20, ("en", "b"): 40, ("en", "c"): 99, ("en", None): 5, ("xx", "a"): 3, (None, None): 2}
+    good, bad = [], []
+    for g, (group, size) in enumerate(sizes.items()):
+        good += [(1000 * g + i, plain_text(1000 * g + i), *group) for i in range(size)]
+        bad.append((1000 * g + 999, junk(1000 * g), *group))
+    judged = outliers.judge(spark.createDataFrame(good + bad, schema)).cache()
+    assert judged.where("distance is null").count() == 0
+    kept = {r.doc_id for r in judged.where("kept").collect()}
+    assert not kept & {b[0] for b in bad}
+    assert len(kept) >= 0.97 * len(good)
+
+
 def test_chi_square():
     assert abs(outliers.chi_square(0.95, 6) - 12.5916) < 1e-3 and abs(outliers.chi_square(0.5, 2) - 1.3863) < 1e-3
 
