@@ -37,15 +37,17 @@ MIN_WORDS = 50
 COVERAGE = 0.75  # share of a group that an estimate rests on
 LEAST = 30  # rows that pass, five for each statistic, for an estimate
 STEPS = 4
-CERTAINTY = 1 - 1e-6  # of the chi-square bound
+CERTAINTY = 0.999  # of the chi-square bound
 UNIT = 1000  # statistics are kept in thousandths
 BINS_PER_DOUBLING = 16
 MAX_BROADCAST_GROUPS = 5_000
 SALTS = 64
 STATISTICS = ("length", "word_length", "symbols", "duplicates", "repeats", "variety")
-# Smallest standard deviation that counts, so that a statistic that is nearly
-# always the same does not reject for a trifle.
-FLOORS = (0.3, 0.15, 0.25, 0.6, 0.6, 0.1)
+# Smallest standard deviation that counts, in place of a smaller one only, so
+# that a statistic that is nearly always the same does not reject for a trifle:
+# beside rows that have none, about a fortieth of symbols to words, a fifth of
+# duplicate lines or a tenth of repeated words is let pass.
+FLOORS = (0.1, 0.1, 0.25, 0.34, 0.146, 0.01)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")
 DIM = len(STATISTICS)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
@@ -119,6 +121,13 @@ def consistency() -> float:
 PARAMETERS = "_group string, _start int, rows bigint, centre array<double>, inverse array<double>, log_det double"
 
 
+def _floored(scatter: np.ndarray) -> np.ndarray:
+    """``scatter`` with the floor's variance in each direction that has less, and as it is in all others."""
+    unit = np.outer(FLOORS, FLOORS)
+    own, directions = np.linalg.eigh(scatter / unit)
+    return (directions * np.maximum(own, 1.0)) @ directions.T * unit
+
+
 def _estimate(sums: pd.DataFrame, scale: float) -> pd.DataFrame:
     """Parameters from one row of sums per group and start."""
     out = []
@@ -128,7 +137,7 @@ def _estimate(sums: pd.DataFrame, scale: float) -> pd.DataFrame:
         scatter = np.empty((DIM, DIM))
         for i, j in PAIRS:
             scatter[i, j] = scatter[j, i] = float(row[f"p{i}_{j}"]) / n - centre[i] * centre[j]
-        scatter = scale * scatter / UNIT**2 + np.diag(np.square(FLOORS))
+        scatter = _floored(scale * scatter / UNIT**2)
         inverse, log_det = np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])
         out.append((row["_group"], row["_start"], int(n), (centre / UNIT).tolist(), inverse, log_det))
     return pd.DataFrame(out, columns=["_group", "_start", "rows", "centre", "inverse", "log_det"])

@@ -280,6 +280,21 @@ def test_outliers_of_small_groups_and_of_any(spark):
     assert len(kept) >= 0.97 * len(good)
 
 
+def test_duplicate_lines_or_repeated_words_alone_reject(spark):
+    schema = "doc_id bigint, text string, lang string, source string"
+    good = [(i, plain_text(i), "en", "s") for i in range(200)]
+    duplicates = plain_text(500).replace("\n", "\nzz\n")  # every second line the same, no three words twice
+    own = plain_text(501).split()
+    repeats = "\n".join(" ".join([*own[k : k + 12], "al", "be", "ga"]) for k in range(0, 144, 12))
+    bad = [(1000, duplicates, "en", "s"), (1001, repeats, "en", "s")]
+    judged = outliers.judge(spark.createDataFrame(good + bad, schema)).cache()
+    rows = {r.doc_id: r for r in judged.where("doc_id >= 1000").collect()}
+    assert (rows[1000].n_repeat_words, rows[1001].n_dup_lines) == (0, 0)
+    assert not rows[1000].base_failed and not rows[1001].base_failed
+    assert not rows[1000].kept and not rows[1001].kept
+    assert judged.where("kept").count() >= 0.97 * len(good)
+
+
 def test_chi_square():
     assert abs(outliers.chi_square(0.95, 6) - 12.5916) < 1e-3 and abs(outliers.chi_square(0.5, 2) - 1.3863) < 1e-3
 
