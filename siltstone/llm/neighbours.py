@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by largest inner product: NN-descent and greedy graph search.
 
 Equal vectors are one node.  A further component makes all nodes equally long,
-so that the largest inner product is the smallest distance.  First lists come
+so that the largest inner product is the smallest distance.  It is kept apart
+from the others, as what it falls short of the longest vector, so that a very
+long vector costs the others no precision.  First lists come
 from windows of rows in the order of random hyperplane codes.  Each round of
 NN-descent joins every node with its neighbours and a sample of those that have
 it as a neighbour: these meet each other, and pairs that improve a list are
@@ -99,7 +101,7 @@ def clean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 class Nodes:
-    """Distinct vectors: ``table(pos, node, embedding, bytes, scale, length, keys)`` and their ``members(vec_id, node)``."""
+    """Distinct vectors: ``table(pos, node, embedding, bytes, scale, short, half, length, keys)`` and their ``members(vec_id, node)``."""
 
     def __init__(self, vectors: DataFrame):
         digest = [F.xxhash64("embedding"), F.xxhash64(F.lit("second"), F.col("embedding"))]
@@ -110,13 +112,19 @@ class Nodes:
         length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
         longest, self.count = one.agg(F.max(length), F.count("*")).first()
         coded = one.select(F.col("vec_id").alias("node"), "embedding").mapInArrow(
-            _coder(float(longest or 0.0)), "node bigint, embedding array<float>, bytes binary, scale float, length double, keys array<bigint>"
+            _coder(float(longest or 0.0)), CODED
         )
         coded = durable(coded.withColumn("_key", F.col("keys")[0]))
         self.table = durable(with_position(coded, "_key", "node", name="pos").drop("_key"))
         discard(coded, marked)
 
 
+CODED = (
+    "node bigint, embedding array<float>, bytes binary, scale float, short double, half double, length double, keys array<bigint>"
+)
+SENT = ("bytes", "scale", "short", "half")  # what a block needs of a vector
+
+
 def _coder(longest: float):
     def run(batches):
         for batch in batches:
@@ -125,8 +133,9 @@ def _coder(longest: float):
                 continue
             x = values.astype(np.float64).reshape(len(batch), -1)
             length = np.sqrt((x * x).sum(1))
+            # The further component is longest - short; half is longest * short, about half the squared length.
             rest = np.sqrt(np.maximum(longest**2 - length**2, 0.0))
-            x = np.column_stack([x, rest])
+            short = length**2 / (longest + rest)
             planes = np.random.default_rng(SEED).normal(size=(TABLES, x.shape[1], BITS))
             weight = 1 << np.arange(BITS)[::-1]
             keys = np.column_stack([(x @ p > 0) @ weight for p in planes])
@@ -136,10 +145,12 @@ def _coder(longest: float):
                 *batch.columns,
                 pa.array([row.tobytes() for row in data], pa.binary()),
                 pa.array(scale.astype(np.float32)),
+                pa.array(short),
+                pa.array(longest * short),
                 pa.array(length),
                 _lists(keys.ravel(), np.full(len(x), TABLES), pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "embedding", "bytes", "scale", "length", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "embedding", *SENT, "length", "keys"])
 
     return run
 
@@ -149,6 +160,15 @@ def _vectors(bytes_: pa.Array, scale: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, np.int8).reshape(len(bytes_), -1) * scale.to_numpy()[:, None].astype(np.float32)
 
 
+def _likeness(x: np.ndarray, short: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Inner products of all pairs with the further component, less the square of the longest vector (a constant).
+
+    (longest - a)(longest - b) - longest^2 = a b - longest a - longest b holds no large number for short vectors.
+    """
+    own = short[..., :, None] * short[..., None, :] - half[..., :, None] - half[..., None, :]
+    return (x @ np.swapaxes(x, -1, -2) + own).astype(np.float32)
+
+
 def first_lists(nodes: Nodes) -> DataFrame:
     """Lists from windows of rows in the order of each table's codes."""
 
@@ -157,9 +177,10 @@ def first_lists(nodes: Nodes) -> DataFrame:
             for first in range(0, len(batch), WINDOW):
                 part = batch.slice(first, WINDOW)
                 x, pos = _vectors(part.column(1), part.column(2)), part.column(0).to_numpy()
+                short, half = part.column(3).to_numpy(), part.column(4).to_numpy()
                 if len(x) < 2:
                     continue
-                sims = x @ x.T
+                sims = _likeness(x, short, half)
                 np.fill_diagonal(sims, -np.inf)
                 k = min(LIST, len(x) - 1)
                 best = np.argpartition(-sims, k - 1, 1)[:, :k]
@@ -168,7 +189,7 @@ def first_lists(nodes: Nodes) -> DataFrame:
 
     tables = None
     for t in range(TABLES):
-        key = nodes.table.select("pos", "bytes", "scale", F.col("keys")[t].alias("_key"))
+        key = nodes.table.select("pos", *SENT, F.col("keys")[t].alias("_key"))
         ordered = key.repartitionByRange("_key", "pos").sortWithinPartitions("_key", "pos").drop("_key")
         own = ordered.mapInArrow(run, GRAPH)
         tables = own if tables is None else tables.unionByName(own)
@@ -196,6 +217,7 @@ def _meetings(edges: pa.Table, vectors: pa.Table) -> pa.Table:
     order = np.argsort(known)
     known = known[order]
     x = _vectors(vectors.column("bytes"), vectors.column("scale"))[order]
+    short, half = (vectors.column(c).to_numpy()[order] for c in ("short", "half"))
     bound = vectors.column("least").to_numpy()[order].astype(np.float32)
     ids, row = _flat(edges.column("near"))
     counts = np.bincount(row, minlength=len(edges))
@@ -207,8 +229,7 @@ def _meetings(edges: pa.Table, vectors: pa.Table) -> pa.Table:
     for first in range(0, len(grid), 128):
         b = grid[first : first + 128]
         here = b >= 0
-        v = x[b]
-        sims = v @ v.transpose(0, 2, 1)
+        sims = _likeness(x[b], short[b], half[b])
         better = (sims > bound[b][:, :, None]) & here[:, :, None] & here[:, None, :] & (b[:, :, None] != b[:, None, :])
         i, j, k = np.nonzero(better)
         parts.append((b[i, j], b[i, k], sims[i, j, k]))
@@ -245,7 +266,7 @@ def improve(nodes: Nodes, graph: DataFrame, number: int) -> tuple[DataFrame, flo
     joined = durable(graph.join(back, "pos", "left").select(block.alias("block"), near.alias("near")))
     needed = joined.select(F.col("block").alias("of_block"), F.explode("near").alias("pos")).distinct()
     least = F.when(F.size("sims") < LIST, F.lit(float("-inf"))).otherwise(F.array_min("sims")).alias("least")
-    known = nodes.table.select("pos", "bytes", "scale").join(graph.select("pos", least), "pos")
+    known = nodes.table.select("pos", *SENT).join(graph.select("pos", least), "pos")
     found = joined.groupBy("block").cogroup(needed.join(known, "pos").groupBy("of_block")).applyInArrow(_meetings, MESSAGE)
     placed = graph.select(block.alias("block"), "pos", "ids", "sims")
     later = durable(placed.groupBy("block").cogroup(found.groupBy("to_block")).applyInArrow(_improved, GRAPH))
@@ -276,8 +297,7 @@ def _expand(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
     order = np.argsort(known)
     known = known[order]
     x = _vectors(vectors.column("bytes"), vectors.column("scale"))[order]
-    own = x[np.searchsorted(known, pos)].copy()
-    own[:, -1] = 0  # the further component is for rows, not for queries
+    own = x[np.searchsorted(known, pos)]  # the further component is for rows, not for queries
     ids, row = _flat(wanted.column("fresh"))
     sims = np.einsum("ij,ij->i", own[row], x[np.searchsorted(known, ids)]) if len(ids) else np.zeros(0, np.float32)
     old, old_row = _flat(wanted.column("ids"))

@@ -54,6 +54,19 @@ def test_recall_scores_and_ties(spark, made):
     assert hits / total >= 0.9  # what the search promises
 
 
+def test_one_long_vector_costs_the_others_nothing(spark):
+    random = np.random.default_rng(6)
+    vectors = random.normal(size=(1500, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[3] *= 100
+    vectors = vectors.astype(np.float32).astype(np.float64)
+    ids = np.arange(len(vectors))
+    frame = spark.createDataFrame([(int(i), v.tolist(), 0, 0, 0) for i, v in zip(ids, vectors, strict=True)], SCHEMA)
+    found = rows_of(neighbours.nearest_rows(frame, F.col("vec_id") % 20 == 0))
+    hits = [len({v for _, v, _ in got} & {v for v, _ in brute(vectors, ids, q, 20)}) for q, got in found.items()]
+    assert len(hits) == 75 and np.mean(hits) / 20 >= 0.95
+
+
 def test_few_rows_give_all_candidates(spark):
     rows = [(i, [float(i), 1.0], 0, 0, 0) for i in range(5)] + [(20, [1.0, 1.0], 0, 0, 0)]
     found = rows_of(neighbours.nearest_rows(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0))
