@@ -14,7 +14,9 @@ longest vectors: the best unexpanded nodes of the pool are expanded, their neigh
 kept.  The pool is scored at last in double precision on the original vectors.
 
 Bounded by parameters: lists (``LIST``), sampled reverse neighbours
-(``REVERSE``), nodes of a block (``BLOCK``), rounds.  A node that very many
+(``REVERSE``), nodes of a block (``BLOCK``), the pool of a query (``POOL``).  Rounds
+go on until lists have settled, and each search until all of its pool is
+expanded.  A node that very many
 nodes refer to is sampled before the shuffle; copies of a vector beyond the
 number of results can't be in any result after the first ones.
 
@@ -40,12 +42,11 @@ TABLES = 4
 BITS = 24
 WINDOW = 512
 BLOCK = 1024
-ROUNDS = 4
-ENOUGH = 0.03  # share of list entries that a round must change to go on
+ENOUGH = 0.01  # share of list entries; rounds go on until one changes fewer
+FAR = 200  # rounds beyond which something is wrong; an error, never a result
 EMIT = 16  # improvements of a node that one block passes on
 POOL = 64
 EXPANDED = 8
-SEARCH_ROUNDS = 10
 ENTRIES = 32  # longest vectors that every search begins from, too
 SEED = 11
 GRAPH = "pos bigint, ids array<bigint>, sims array<float>"
@@ -281,13 +282,13 @@ def improve(nodes: Nodes, graph: DataFrame, number: int) -> tuple[DataFrame, flo
 def neighbour_graph(nodes: Nodes) -> DataFrame:
     """GRAPH of all nodes."""
     graph = first_lists(nodes)
-    for number in range(ROUNDS):
+    for number in range(FAR):
         later, share = improve(nodes, graph, number)
         discard(graph)
         graph = later
         if share < ENOUGH:
-            break
-    return graph
+            return graph
+    raise RuntimeError(f"neighbour lists have not settled in {FAR} rounds")
 
 
 def _expand(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
@@ -333,24 +334,24 @@ def search(nodes: Nodes, graph: DataFrame, queries: DataFrame) -> DataFrame:
         nodes, start.select("pos", none.alias("ids"), F.array().cast("array<float>").alias("sims"), first.alias("fresh"))
     )
     done = pools.select("pos", none.alias("done"))
-    for _ in range(SEARCH_ROUNDS):
+    finished = None
+    for _ in range(FAR):
         chosen = F.slice(F.array_except("ids", "done"), 1, EXPANDED).alias("chosen")
         state = durable(pools.join(done, "pos").select("pos", "ids", "sims", "done", chosen))
+        discard(pools)
+        settled = state.where(F.size("chosen") == 0).select("pos", "ids", "sims")
+        finished = settled if finished is None else finished.unionByName(settled)
+        state = state.where(F.size("chosen") > 0)
+        if state.isEmpty():
+            return finished
         reached = state.select("pos", F.explode("chosen").alias("_at")).join(
             graph.select(F.col("pos").alias("_at"), F.col("ids").alias("_next")), "_at"
         )
         reached = reached.groupBy("pos").agg(F.array_distinct(F.flatten(F.collect_list("_next"))).alias("_next"))
         fresh = F.array_except(F.array_except(F.coalesce("_next", none), "ids"), own).alias("fresh")
-        moved = _scored(nodes, state.join(reached, "pos", "left").select("pos", "ids", "sims", fresh))
-        entered = moved.join(state.select("pos", F.col("ids").alias("old")), "pos").agg(
-            F.sum(F.size("ids")), F.sum(F.size(F.array_except("ids", "old")))
-        )
-        entries_now, new = entered.first()
-        discard(pools)
-        pools, done = moved, state.select("pos", F.concat("done", "chosen").alias("done"))
-        if (new or 0) < ENOUGH * (entries_now or 0):
-            break
-    return pools
+        pools = _scored(nodes, state.join(reached, "pos", "left").select("pos", "ids", "sims", fresh))
+        done = state.select("pos", F.concat("done", "chosen").alias("done"))
+    raise RuntimeError(f"searches have not ended in {FAR} rounds")
 
 
 def nearest_rows(rows: DataFrame, is_query, results: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -67,6 +67,15 @@ def test_one_long_vector_costs_the_others_nothing(spark):
     assert len(hits) == 75 and np.mean(hits) / 20 >= 0.95
 
 
+def test_lists_and_searches_go_on_until_they_settle(spark, monkeypatch):
+    shares = iter([0.5, 0.3, 0.2, 0.1, 0.05, 0.02, 0.0])
+    seen = []
+    monkeypatch.setattr(neighbours, "first_lists", lambda nodes: spark.range(1))
+    monkeypatch.setattr(neighbours, "improve", lambda nodes, graph, number: (seen.append(number), (graph, next(shares)))[1])
+    neighbours.neighbour_graph(None)
+    assert seen == list(range(7))
+
+
 def test_few_rows_give_all_candidates(spark):
     rows = [(i, [float(i), 1.0], 0, 0, 0) for i in range(5)] + [(20, [1.0, 1.0], 0, 0, 0)]
     found = rows_of(neighbours.nearest_rows(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0))
