@@ -4,8 +4,9 @@ A page is read once into blocks of text, each with its root-to-leaf path of
 block elements.  Per path the text length and the punctuation per block are
 averaged, smoothed along the page, fused into one score and compared with a
 threshold; the blocks of the paths that pass are the content.  What the page
-itself declares counts too: elements and class names that are never content
-score nothing, and within an article only paths made of links must pass.
+itself declares counts too: elements that are never content score nothing, nor
+do those with a whole class, id or role that says so, unless they hold an article
+or most of the page's text; within an article only paths made of links must pass.
 Headings belong to the content that they stand in.
 
 Each page is worked on alone in Arrow batches, in time linear in its length.
@@ -41,7 +42,7 @@ ARTICLE = frozenset(("article", "main"))
 ROOTS = frozenset(("html", "body", "article", "main"))
 CLOSES_ITS_OWN = frozenset("li dt dd tr td th option".split())
 HOLDS_ITEMS = frozenset("ul ol dl table tbody thead tfoot".split())
-# Words in class, id or role that mark what is not content.
+# Whole classes, ids and roles, not parts of hyphenated ones, that mark what is not content.
 MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices popup modal overlay newsletter subscribe subscription sidebar comment comments commentlist reply replies "
@@ -53,6 +54,8 @@ SMOOTHING = (0.25, 0.5, 0.25)
 THRESHOLD = 0.5  # of the standard deviation of the fused scores of a page
 LINK_SHARE = 0.8  # a path with more of its text in links is made of links
 LINK_WEIGHT = 0.05
+MOST = 0.5  # a form, a header or a marked element with more of a page's text is kept for the ratios to judge
+SPARED = frozenset(("form",))  # elements of NEVER that pages wrap around their content
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^"'>])*+)>?|[!?/][^>]*>?)""", re.S)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
@@ -65,6 +68,7 @@ class Block:
     linked: int  # characters inside links
     article: bool
     heading: bool
+    mark: int = -1  # the innermost marked element around it
 
 
 @dataclass
@@ -73,6 +77,7 @@ class _Open:
     label: str
     never: bool
     article: bool
+    mark: int = -1
 
 
 class _Page:
@@ -84,6 +89,8 @@ class _Page:
         self.links = 0
         self.text: list[str] = []
         self.linked = 0
+        self.around: list[int] = []  # of each marked element the marked one around it, -1 for none
+        self.holds: list[bool] = []  # whether it holds an article
 
     def flush(self) -> None:
         if self.text:
@@ -91,7 +98,7 @@ class _Page:
             top = next(e for e in reversed(self.stack) if e.name not in INLINE)
             if own and not self.stack[-1].never:
                 path = tuple(e.label for e in self.stack if e.name not in INLINE)
-                self.blocks.append(Block(path, own, self.linked, top.article, top.name in HEADINGS))
+                self.blocks.append(Block(path, own, self.linked, top.article, top.name in HEADINGS, self.stack[-1].mark))
         self.text, self.linked = [], 0
 
     def add(self, text: str) -> None:
@@ -123,14 +130,38 @@ class _Page:
             return
         above = self.stack[-1]
         found = _MARK.findall(attributes) if "=" in attributes else ()
-        marks = [w for m in found for w in re.split(r"[^a-z]+", "".join(m).lower()) if w]
+        tokens = {w for m in found for w in "".join(m).lower().split()}
+        marks = [w for t in tokens for w in re.split(r"[^a-z]+", t) if w]
         article = above.article or name in ARTICLE
-        never = above.never or name in NEVER
-        if name not in ROOTS:
-            never = never or not MARKS.isdisjoint(marks) or (not article and (name == "header" or "header" in marks))
+        never = above.never or (name in NEVER and name not in SPARED)
+        mark = above.mark
+        if name in ARTICLE and mark >= 0:
+            self.holds[mark] = True
+        elif name not in ROOTS:
+            header = not article and (name == "header" or "header" in tokens)
+            if name in SPARED or header or not MARKS.isdisjoint(tokens):
+                self.around.append(mark)
+                self.holds.append(False)
+                mark = len(self.around) - 1
         label = name + "." + ".".join(sorted(set(marks))) if marks and name not in INLINE else name
         self.links += name == "a"
-        self.stack.append(_Open(name, label, never, article))
+        self.stack.append(_Open(name, label, never, article, mark))
+
+    def unmarked(self) -> list[Block]:
+        """The blocks outside marked elements, but for those that hold an article or most of the text."""
+        size = [0] * len(self.around)
+        for b in self.blocks:
+            if b.mark >= 0:
+                size[b.mark] += len(b.text)
+        for m in range(len(size) - 1, -1, -1):  # inner ones come later
+            if self.around[m] >= 0:
+                size[self.around[m]] += size[m]
+                self.holds[self.around[m]] |= self.holds[m]
+        most = MOST * sum(len(b.text) for b in self.blocks)
+        stays: list[bool] = []
+        for m, outer in enumerate(self.around):
+            stays.append((self.holds[m] or size[m] > most) and (outer < 0 or stays[outer]))
+        return [b for b in self.blocks if b.mark < 0 or stays[b.mark]]
 
     def end(self, name: str) -> None:
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -161,7 +192,7 @@ def blocks_of(html: str) -> list[Block]:
                     at = close.end() if close else len(html)
                     page.end(name)
     page.flush()
-    return page.blocks
+    return page.unmarked()
 
 
 def chosen(blocks: list[Block]) -> list[bool]:

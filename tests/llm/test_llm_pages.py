@@ -42,6 +42,22 @@ def test_main_text(html, text):
     assert content.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (page(f'<div class="layout has-sidebar"><article><p>{BODY}</article></div>'), ""),
+        (page(f'<div class="content no-comments"><article><p>{BODY}</article></div>'), ""),
+        (page(f'<article><h2 id="search-algorithm">Search</h2><p>{BODY}</article>'), "Search\n"),
+        (page(f'<article><h2 id="related-work">Related</h2><section id="social-effects"><p>{BODY}</section></article>'), "Related\n"),
+        (f"<form id=aspnet>{page(f'<article><p>{BODY}</article>')}</form>", ""),
+        (f"<body><form><div><p>{BODY}</p></div></form></body>", ""),
+        (page(f'<div class="sidebar"><main><p>{BODY}</main></div>'), ""),
+    ],
+)
+def test_names_that_only_resemble_marks_drop_nothing(html, text):
+    assert content.main_text(html) == text + "A first paragraph, with bold text & signs. And more, of it."
+
+
 def test_long_broken_pages_take_linear_time():
     assert len(content.main_text("<" * 300_000)) >= 0
     assert content.main_text("<p a='" + "x" * 300_000) == ""
@@ -49,6 +65,10 @@ def test_long_broken_pages_take_linear_time():
     assert content.main_text("<!--" * 50_000) == ""
 
 
+def test_deeply_nested_marks_take_linear_time():
+    assert content.main_text("<p>text, it is.</p>" + "<div class=ad>" * 5_000 + "ad" + "</div>" * 5_000) == "text, it is."
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [(1, "http://a b/\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "same"),
