@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import content, labelled, line_dedup, mixing, neighbours, ngram_join, outliers, pieces, quality, toxicity, warc
+from siltstone.llm import (
+    content, labelled, lexical, line_dedup, mixing, neighbours, ngram_join, outliers, pieces, quality, token_counts, toxicity, warc, whitening,
+)
 from siltstone.plans.fixture import table
 from siltstone.session import run_folder
 
 THRESHOLD = 0.3  # scores from here on count as label 1
+TOKEN_LIMIT = 2048  # a document of more tokens is over the limit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +135,19 @@ def op9_sentencepiece(spark, sf_dir):
 def op10_line_dedup(spark, sf_dir):
     kept = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_token_counts(spark, sf_dir):
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
