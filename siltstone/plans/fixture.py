@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,104 @@ SELECT func_id, file,
 FROM {corpus}
 """
 
+# Whole source files in three languages, made from the key k: k % 4 comment lines
+# on top, some lines only where k is odd, <k%5> in a line is that number.
+MODULES = {
+    "python": """
+import os
+from a.b import c
+note # note ( {
+class K<k%5>(Base):
+    \"\"\"doc ( {
+    end\"\"\"
+    def run(self, a, *rest, b=f(1), **kw):
+        # open (
+        if a and (b or
+                rest):
+            for x in os.listdir(a):
+                self.go(len(x))
+odd         elif b:
+odd             x.y.z()
+        return "}"
+
+    async def late(self): pass
+
+def top_<k%11>(u):
+    def inner(v):
+        while v:
+            with u:
+                v()
+    return inner
+tail = 1""",
+    "javascript": """
+import x from 'x';
+note // note ) }
+/* block {
+   ` " */ const t = `a { ${1}
+// in template }`;
+export async function load_<k%11>(a, b = [1, 2], ...rest) {
+  if (a) { return "}"; } else if (b) {
+    for (let i = 0; i < 3; i++) { while (a) { a--; } }
+  }
+odd   for (const q of b) { try { q(); } catch (e) {} }
+  return function named() {};
+}
+class K<k%5> extends Base {
+  static async get(x, {y}) { return x; }
+  handle = (e) => {
+    this.go(e);
+  }
+}
+const pick_<k%7> = (u) => u.v
+list.map(z => z);""",
+    "java": """
+import java.util.List;
+note // note (
+public class K<k%5><T> {
+  private int[] n = {1, 2};
+  K<k%5>(int a) { n[0] = a; }
+  /** doc { */
+  @Override
+  public <R> Map<String, R> add_<k%11>(final int a, Map<String, R> m,
+      int... rest) throws A, B {
+    String s = "{" + '"' + \"\"\"
+      { " }
+    \"\"\";
+    if (a > 0) { for (int i = 0; i < a; i++) { a--; } }
+odd     try (X x = y()) { } catch (E e) { }
+    return null;
+  }
+  interface In {
+    void call(int q);
+  }
+}""",
+}
+
+
+def _line_sql(line: str) -> str:
+    """One line behind a line feed, in SQL of both engines; braces would be read as places of tables."""
+    often = "1"
+    for mark, times in (("note ", "CAST(k % 4 AS INT)"), ("odd ", "CAST(k % 2 AS INT)")):
+        if line.startswith(mark):
+            often, line = times, line.removeprefix(mark)
+    parts = []
+    for i, text in enumerate(re.split(r"<k%(\d+)>", line)):
+        if i % 2:
+            parts.append(f"CAST(k % {text} AS STRING)")
+        else:
+            parts += [{"{": "chr(123)", "}": "chr(125)"}.get(t, "'" + t.replace("'", "''") + "'") for t in re.split("([{}])", text)]
+    return f"repeat(concat(chr(10), {', '.join(parts)}), {often})"
+
+
+_MODULE_TEXTS = {name: "concat(" + ", ".join(map(_line_sql, text.split("\n")[1:])) + ")" for name, text in MODULES.items()}
+_ENDINGS = {"python": ".py", "javascript": ".ts", "java": ".java"}
+MODULES_SQL = f"""
+SELECT k, concat('m/f', CAST(k AS STRING), CASE k % 3 {" ".join(f"WHEN {i} THEN '{_ENDINGS[m]}'" for i, m in enumerate(MODULES))} END) AS path,
+  CASE k % 3 {" ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MODULES))} END AS language,
+  substr(CASE k % 3 {" ".join(f"WHEN {i} THEN {_MODULE_TEXTS[m]}" for i, m in enumerate(MODULES))} END, 2) AS content
+FROM (SELECT o_orderkey AS k FROM {{orders}}) keys
+"""
+
 # One of the routing words, or a text without any; some in upper case, some
 # with a second word.
 QUESTION_WORDS = (
@@ -141,6 +241,11 @@ def files_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FILES_SQL, corpus=corpus_view(spark, sf_dir))
 
 
+def modules_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files as FILES, with the key they are made from."""
+    return spark.sql(MODULES_SQL, orders=spread(table(spark, sf_dir, "orders").select("o_orderkey")))
+
+
 def questions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(QUESTIONS_SQL, events=table(spark, sf_dir, "events"))
 

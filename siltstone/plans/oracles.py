@@ -36,6 +36,24 @@ def _text(value: str) -> str:
     return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in value.split("\n"))
 
 
+# What the module texts hold, by the number of their first lines (n) and of the lines for odd keys (j).
+_MODULE_FUNCTIONS = """(0, 'K', 5, 'run', 0, 6, 0, 12, 2, 5, 'self,a,rest,b,kw', 'f,os.listdir,self.go', 'import os|from a.b import c', FALSE),
+  (0, 'K', 5, 'late', 0, 14, 2, 14, 2, 1, 'self', '', 'import os|from a.b import c', FALSE),
+  (0, NULL, 1, 'top_', 11, 16, 2, 21, 2, 5, 'u', 'v', 'import os|from a.b import c', FALSE),
+  (1, NULL, 1, 'load_', 11, 5, 0, 10, 1, 4, 'a,b,rest', '', 'import x from ''x'';', FALSE),
+  (1, 'K', 5, 'get', 0, 12, 1, 12, 1, 0, 'x', '', 'import x from ''x'';', FALSE),
+  (1, 'K', 5, 'handle', 0, 13, 1, 15, 1, 0, 'e', '', 'import x from ''x'';', FALSE),
+  (1, NULL, 1, 'pick_', 7, 17, 1, 17, 1, 0, 'u', '', 'import x from ''x'';', FALSE),
+  (2, 'K', 5, 'add_', 11, 6, 0, 14, 1, 5, 'a,m', '', 'import java.util.List;', TRUE),
+  (2, 'K', 5, 'call', 0, 16, 1, 16, 1, 0, 'q', '', 'import java.util.List;', FALSE)"""
+_MODULE_ROWS = f"""SELECT path, class || CAST(k % c AS VARCHAR) AS class_name,
+    name || CASE WHEN d > 0 THEN CAST(k % d AS VARCHAR) ELSE '' END AS function,
+    CAST(k % 4 + a + aj * (k % 2) AS INT) AS start_line, CAST(k % 4 + b + bj * (k % 2) AS INT) AS end_line,
+    CAST(b - a + (bj - aj) * (k % 2) + 1 AS INT) AS function_length, depth AS nesting_depth, doc AS has_docstring, parameters,
+    calls || CASE WHEN name = 'run' AND k % 2 = 1 THEN ',z' ELSE '' END AS calls, imports
+  FROM (SELECT o_orderkey AS k, concat('m/f', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.java' END) AS path FROM orders)
+  JOIN (VALUES {_MODULE_FUNCTIONS}) t(m, class, c, name, d, a, aj, b, bj, depth, parameters, calls, imports, doc) ON k % 3 = m"""
+
 # Condition on k = func_id under which the corpus text triggers each rule.
 _HITS = {
     "R1": "k % 17 = 0 OR k % 43 = 0",
@@ -229,6 +247,12 @@ def _statements() -> dict[str, str]:
           WHEN lower(path) LIKE '%.java' THEN 'java' WHEN lower(path) LIKE '%.js' OR lower(path) LIKE '%.jsx'
           OR lower(path) LIKE '%.ts' OR lower(path) LIKE '%.tsx' THEN 'javascript' END AS language FROM paths""",
         "slice_function_code": "SELECT func_id, code FROM corpus",
+        # Brackets that never close, in every 59th text, leave a file unread.
+        "extract_functions": """SELECT f.func_id, 'fn' AS function, CAST(NULL AS VARCHAR) AS class_name, f.start_line,
+          f.start_line + f.function_length - 1 AS end_line, f.function_length, 'a' AS parameters, f.func_id % 3 = 0 AS has_docstring, code
+          FROM files f JOIN corpus USING (func_id) WHERE f.func_id % 59 <> 0""",
+        "unread_files": "SELECT func_id FROM files WHERE func_id % 59 = 0",
+        "extract_modules": _MODULE_ROWS,
         "has_docstring": "SELECT func_id, func_id % 3 = 0 AS has_docstring FROM corpus",
         "imports_before_function": "SELECT func_id, imports_csv AS imports FROM corpus",
         "all_local_issues": f"SELECT {_FLAT}, explanation, suggestion FROM rule_rows",

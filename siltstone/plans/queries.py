@@ -13,10 +13,11 @@ from siltstone.functions.normalize import code_hash
 from siltstone.functions.questions import route, wants_debugging
 from siltstone.functions.rules import holds_secret
 from siltstone.functions.text import import_target, imports_before, language_of, matches_glob, slice_lines, under_directory
-from siltstone.operators import answers, chat, duplicates, graph, impact, issues, report, summary, vectors
+from siltstone.operators import answers, chat, duplicates, extract, graph, impact, issues, report, summary, vectors
 from siltstone.plans.fixture import (
     CORPUS_SQL,
     files_view,
+    modules_view,
     functions_view,
     paths_view,
     questions_view,
@@ -99,6 +100,33 @@ def slice_function_code(spark, sf_dir):
     )
 
 
+def _python_files(spark, sf_dir) -> DataFrame:
+    return files_view(spark, sf_dir).select(F.col("func_id").cast("string").alias("path"), F.lit("python").alias("language"), "content")
+
+
+@query
+def extract_functions(spark, sf_dir):
+    found = extract.extract_functions(_python_files(spark, sf_dir))
+    return found.select(
+        F.col("file").cast("bigint").alias("func_id"), "function", "class_name", "start_line", "end_line", "function_length",
+        F.array_join("parameters", ",").alias("parameters"), "has_docstring", "code",
+    )
+
+
+@query
+def unread_files(spark, sf_dir):
+    return extract.unread_files(_python_files(spark, sf_dir)).select(F.col("path").cast("bigint").alias("func_id"))
+
+
+@query
+def extract_modules(spark, sf_dir):
+    found = extract.extract_functions(modules_view(spark, sf_dir).select("path", "language", "content"))
+    return found.select(
+        F.col("file").alias("path"), "class_name", "function", "start_line", "end_line", "function_length", "nesting_depth", "has_docstring",
+        F.array_join("parameters", ",").alias("parameters"), F.array_join("calls", ",").alias("calls"), F.array_join("imports", "|").alias("imports"),
+    )
+
+
 @query
 def has_docstring(spark, sf_dir):
     return functions_view(spark, sf_dir).select("func_id", "has_docstring")

@@ -1,7 +1,6 @@
 import pytest
 
-from siltstone.functions.outline import outline
-from siltstone.operators.extract import extract_functions, unread_files
+from siltstone.operators.extract import extract_functions, locate_functions, unread_files
 from siltstone.schemas import FILES, FUNCTIONS
 
 SOURCES = {
@@ -18,6 +17,10 @@ SOURCES = {
 LANGUAGE = {"py": "python", "js": "javascript", "java": "java"}
 
 
+def located(spark, text, language, **options):
+    return locate_functions(spark.createDataFrame([("x", language, text)], FILES), **options).orderBy("pos").collect()
+
+
 @pytest.fixture(scope="module")
 def extracted(spark):
     rows = [(p, LANGUAGE[p.rsplit(".")[-1]], text) for p, text in SOURCES.items()]
@@ -47,11 +50,11 @@ def test_depth_calls_imports(extracted):
     assert extracted["e.py"][0].imports == ["import os", "from a import b"]
 
 
-def test_javascript(extracted):
+def test_javascript(spark, extracted):
     assert [(r.class_name, r.function, r.start_line, r.end_line, r.parameters) for r in extracted["f.js"]] == [
         (None, "decl", 1, 3, ["a"]), ("K", "method", 5, 5, ["x"]), (None, "h", 7, 7, ["a"])]
     assert extracted["f.js"][0].nesting_depth == 2
-    assert [r[1] for r in outline(SOURCES["f.js"], "javascript", compat=True)] == ["decl", "y"]
+    assert [r.function for r in located(spark, SOURCES["f.js"], "javascript", compat=True)] == ["decl", "y"]
 
 
 def test_java(extracted):
@@ -70,30 +73,30 @@ def test_ids_differ(extracted):
     assert len(set(ids)) == len(ids)
 
 
-def test_strings_and_comments_hide_brackets():
+def test_strings_and_comments_hide_brackets(spark):
     text = "function a() { return \"}\"; // }\n/* } */ let t = `}`; let r = /[}]/; }\nfunction b() {}\n"
-    assert [(r[1], r[2], r[3]) for r in outline(text, "javascript")] == [("a", 1, 2), ("b", 3, 3)]
+    assert [(r.function, r.start_line, r.end_line) for r in located(spark, text, "javascript")] == [("a", 1, 2), ("b", 3, 3)]
 
 
-def test_expressions_are_not_declarations():
+def test_expressions_are_not_declarations(spark):
     text = "const a = function named() {};\nexport default function kept() {}\nfoo(function cb() {});\n"
-    assert [r[1] for r in outline(text, "javascript")] == ["kept"]
+    assert [r.function for r in located(spark, text, "javascript")] == ["kept"]
 
 
 def test_another_language_can_be_added(spark):
     files = spark.createDataFrame([("x.sql", "sql", "select 1\nselect 2")], FILES)
-    rows = extract_functions(files, outliner=lambda text, lang, compat: [(None, "q", 2, 2, [], 0, [])]).collect()
+    rows = extract_functions(files, outliners={"sql": lambda text: [(None, "q", 2, 2, [], 0, [])]}).collect()
     assert [(r.function, r.code) for r in rows] == [("q", "select 2")]
 
 
-def test_value_after_a_long_comment():
+def test_value_after_a_long_comment(spark):
     text = "foo(/*" + " c" * 5000 + "*/ function bar(a) {\n});\nfunction kept() {}\nreturn  \n\n function no() {}\n"
-    assert [r[1] for r in outline(text, "javascript")] == ["kept"]
+    assert [r.function for r in located(spark, text, "javascript")] == ["kept"]
 
 
-def test_long_branch_chain():
+def test_long_branch_chain(spark):
     text = "def f(x):\n    if x == 0:\n        pass\n" + "".join(f"    elif x == {i}:\n        pass\n" for i in range(5000))
-    assert [(r[1], r[5]) for r in outline(text, "python")] == [("f", 3)]
+    assert [(r.function, r.nesting_depth) for r in located(spark, text, "python")] == [("f", 3)]
 
 
 def test_unread_files_are_counted(spark):
