@@ -327,6 +327,7 @@ def _statements() -> dict[str, str]:
           explanation || ' ' || suggestion AS document, coalesce(class_name, '') AS class_name, category, issue, severity,
           '[' || start_line || ',' || end_line || ']' AS lines FROM issues JOIN texts USING (k, rule_pos)""",
         "knn_top3": _hits("(SELECT vec_id AS id, vec_id AS vec FROM embeddings) e", 3),
+        "knn_indexed": _hits("(SELECT vec_id AS id, vec_id AS vec FROM embeddings) e", 3),
         "knn_cosine": _hits("(SELECT vec_id AS id, vec_id AS vec FROM embeddings) e", 5, measure="cosine"),
         "knn_issues": _hits("issue_vec", 5),
         "knn_filtered": _hits("(SELECT vec_id AS id, vec_id AS vec FROM embeddings) e", 3, "label = 3"),

@@ -13,7 +13,7 @@ from siltstone.functions.normalize import code_hash
 from siltstone.functions.questions import route, wants_debugging
 from siltstone.functions.rules import holds_secret
 from siltstone.functions.text import import_target, imports_before, language_of, matches_glob, slice_lines, under_directory
-from siltstone.operators import answers, chat, duplicates, extract, graph, impact, issues, report, summary, vectors
+from siltstone.operators import answers, buckets, chat, duplicates, extract, graph, impact, issues, report, summary, vectors
 from siltstone.plans.fixture import (
     CORPUS_SQL,
     files_view,
@@ -460,6 +460,20 @@ def knn_cosine(spark, sf_dir):
     return _rounded(vectors.nearest(_all_queries(spark, sf_dir), corpus, 5, metric="cosine"))
 
 
+@query
+def knn_indexed(spark, sf_dir):
+    """The nearest rows of every vector, exact, over an index of buckets."""
+    corpus = _vectors(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    return _rounded(buckets.search(buckets.build_index(corpus), _all_queries(spark, sf_dir), 3).drop("approximate"))
+
+
+@query
+def knn_approximate(spark, sf_dir):
+    """Ten near rows of every vector from the nearest buckets; flagged, without SQL."""
+    corpus = _vectors(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    return buckets.search(buckets.build_index(corpus), _all_queries(spark, sf_dir), 10, share=buckets.SHARE)
+
+
 @query
 def knn_issues(spark, sf_dir):
     return _rounded(vectors.nearest(_all_queries(spark, sf_dir), _issue_vectors(spark, sf_dir), 5))
