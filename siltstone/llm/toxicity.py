@@ -13,7 +13,8 @@ passage and the mass of all significant ones gives the probability.
 
 K and the curve are fitted on texts whose tokens did not go into their scores
 (two halves, each scored by the other).  Only the labels go into fitting, at
-most ``MAX_LABELLED`` rows of them; every text is scored whole.
+most ``MAX_LABELLED`` rows of them, which bounds the model too; every text is
+scored whole.
 
 Defined cases: null and empty texts have no passage and the score of such;
 labels without a class are left out; with no toxic or no harmless label all
@@ -22,6 +23,7 @@ scores are 0; rows are independent; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,6 @@ from siltstone.llm import labelled, words
 MAX_LABELLED = 40_000  # labelled rows used for fitting
 BEGINNINGS = (5, 6, 7, 8)  # bytes
 LEAST_TOXIC = 4  # toxic texts that hold a token which may score; fewer can't pass the bound
-MAX_TOKENS = 1 << 17  # most tokens and beginnings of the model, those of most toxic texts
 PRIOR = 0.5  # pseudo-count of each bucket and class
 CONFIDENCE = 3.0  # standard errors below the log-odds ratio
 DRIFT = 0.08  # taken off at every other token
@@ -42,32 +43,47 @@ SIGNIFICANT = 0.01  # chance of a passage in harmless text of the same length
 CERTAIN = -2.0  # least calibrated score: harmless texts nearly always have this much
 IMPOSSIBLE = 30.0  # and the most that counts
 STEP, STEPS = 0.25, 64  # of token scores, when their distribution is taken
-LEAST_FITTED = 20  # harmless texts with a passage, to fit K to
+FILTER = (1 << 22) - 1  # bits of a hash that tell most unknown tokens from those of the model
 EULER = 0.5772156649
 
 
+class Scores:
+    """The tokens that score, ascending, and their scores."""
+
+    def __init__(self, known: np.ndarray, value: np.ndarray):
+        self.known, self.value = known, value
+        self.maybe = np.zeros(FILTER + 1, bool)
+        self.maybe[known & np.uint64(FILTER)] = True
+
+    def __reduce__(self):
+        return Scores, (self.known, self.value)  # the table is made where it is used
+
+
 @dataclass
 class Tokens:
     hashes: np.ndarray  # a row for whole tokens and one for each beginning
     text: np.ndarray
     counts: np.ndarray
 
-    def scores(self, scored: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        known, value = scored
-        if not len(known):
-            return np.full(len(self.text), -DRIFT)
-        at = np.minimum(np.searchsorted(known, self.hashes), len(known) - 1)
-        return np.where(known[at] == self.hashes, value[at], -DRIFT).max(axis=0)
+    def scores(self, scored: Scores) -> np.ndarray:
+        out = np.full(self.hashes.shape, -DRIFT)
+        if len(scored.known):
+            # One look into a table leaves few tokens to search for, however large the model is.
+            row, column = np.nonzero(scored.maybe[self.hashes & np.uint64(FILTER)])
+            own = self.hashes[row, column]
+            at = np.minimum(np.searchsorted(scored.known, own), len(scored.known) - 1)
+            out[row, column] = np.where(scored.known[at] == own, scored.value[at], -DRIFT)
+        return out.max(axis=0)
 
 
 def tokens(part: pa.Array) -> Tokens:
     data, at = words.raw(part)
     found = words.words(data, at, between=words.NOT_ALPHANUMERIC)
     rows = [found.hash]
-    for size in BEGINNINGS:
+    for size, begun in zip(BEGINNINGS, words.with_beginnings(data, found, BEGINNINGS), strict=True):
         longer = found.end - found.start > size
         # A token that is no longer than its beginning counts as a whole only.
-        rows.append(np.where(longer, words.mix(words.prefixes(data, found, size) + np.uint64(size)), found.hash))
+        rows.append(np.where(longer, words.mix(begun + np.uint64(size)), found.hash))
     return Tokens(np.array(rows), found.text, found.counts(len(part)))
 
 
@@ -83,8 +99,8 @@ def candidates(texts: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["token", "n"])
 
     held = texts.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    most = held.where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "token").limit(MAX_TOKENS)
-    return np.sort(most.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    often = held.where(F.col("n") >= LEAST_TOXIC).select("token")  # of a bounded number of texts
+    return np.sort(often.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
 def token_counts(texts: DataFrame, known: np.ndarray) -> np.ndarray:
@@ -110,18 +126,18 @@ def token_counts(texts: DataFrame, known: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], ["place", "n"])
 
     rows = texts.select("text", "half", "label").mapInArrow(run, "place bigint, n bigint")
-    found = rows.groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most 4 * MAX_TOKENS rows
+    found = rows.groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # four rows for each of the known tokens at most
     out = np.zeros(4 * size)
     out[found["place"]] = found["n"]
     return out.reshape(2, 2, size)
 
 
-def token_scores(known: np.ndarray, toxic: np.ndarray, harmless: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_scores(known: np.ndarray, toxic: np.ndarray, harmless: np.ndarray) -> Scores:
     """The tokens that score and their scores, from the texts that hold them (all texts last)."""
     a, b = toxic + PRIOR, harmless + PRIOR
     ratio = np.log(a / a[-1]) - np.log(b / b[-1])
     bound = (ratio - CONFIDENCE * np.sqrt(1 / a + 1 / b))[:-1]
-    return known[bound > 0], bound[bound > 0]
+    return Scores(known[bound > 0], bound[bound > 0])
 
 
 def decay(values: np.ndarray, counts: np.ndarray) -> float:
@@ -166,7 +182,7 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    scores: tuple[np.ndarray, np.ndarray]
+    scores: Scores
     decay: float
     log_k: float
     curve: tuple[float, ...]  # intercept, calibrated score, mass of significant passages
@@ -176,24 +192,18 @@ class Model:
         raw = self.decay * score - self.log_k - np.log(np.maximum(n, 1))
         return np.where(np.asarray(score) > 0, np.clip(raw, CERTAIN, IMPOSSIBLE), CERTAIN)
 
-    def passages(self, score: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """Every significant passage: first token, length, score, chance in harmless text."""
-        found = []
-        for first, end, total in segments(score):
-            chance = -np.expm1(-np.exp(np.minimum(-self.calibrated(total, len(score)), 50)))
-            if chance <= SIGNIFICANT:
-                found.append((first, end - first, total, float(chance)))
-        return found
+    def bound(self, n: int) -> float:
+        """The score from which on a segment of a text of n tokens is significant."""
+        return (self.log_k + math.log(max(n, 1)) - math.log(-math.log1p(-SIGNIFICANT))) / self.decay
 
     def mass(self, totals: list[float], n: int) -> float:
         """What the segments of a text of n tokens score beyond the bound of significance, together."""
-        bound = (self.log_k + np.log(max(n, 1)) - np.log(-np.log1p(-SIGNIFICANT))) / self.decay
-        return float(np.log1p(sum(max(t - bound, 0.0) for t in totals)))
+        bound = self.bound(n)
+        return math.log1p(sum(max(t - bound, 0.0) for t in totals))
 
-    def summary(self, score: np.ndarray) -> tuple[float, float, list]:
-        totals = [t for _, _, t in segments(score)]
-        best = self.calibrated(max(totals, default=0.0), len(score))
-        return float(best), self.mass(totals, len(score)), self.passages(score)
+    def chances(self, totals: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of segments, each in a harmless text of n tokens."""
+        return -np.expm1(-np.exp(np.minimum(-self.calibrated(totals, n), 50)))
 
     def probability(self, best: np.ndarray, mass: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
@@ -214,7 +224,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def _scored(texts: DataFrame, halves: list[tuple]) -> DataFrame:
+def _scored(texts: DataFrame, halves: list[Scores]) -> DataFrame:
     """``label, totals, n, seen`` of ``texts(text, label, half)``, each by the scores of the other half.
 
     ``seen`` counts the positive token scores in steps of ``STEP``.
@@ -265,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     values = np.r_[-DRIFT, (np.arange(STEPS) + 0.5) * STEP]
     model.decay = decay(values, np.r_[max(n[label == 0].sum() - seen.sum(), 1), seen])
     harmless = (label == 0) & (top > 0)
-    if harmless.sum() >= LEAST_FITTED:
+    if harmless.any():
         model.log_k = float((model.decay * top - np.log(np.maximum(n, 1)))[harmless].mean() - EULER)
     best = model.calibrated(top, n)
     mass = np.array([model.mass(t, k) for t, k in zip(rows["totals"], n, strict=True)])
@@ -277,7 +287,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, passages`` of each row; a passage has its first token, length, score and chance."""
     schema = docs.select("doc_id").schema.fields[0].dataType.simpleString()
     passage = pa.struct([("first", pa.int32()), ("tokens", pa.int32()), ("score", pa.float64()), ("chance", pa.float64())])
-    given = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB at most
+    given = docs.sparkSession.sparkContext.broadcast(model)  # its tokens come from a bounded number of texts
 
     def run(batches):
         own_model = given.value
@@ -285,13 +295,27 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             for first, part in words.slices(batch.column(1)):
                 own = tokens(part)
                 score = own.scores(own_model.scores)
-                some = np.bincount(own.text, score > 0, minlength=len(part)) > 0
-                best = own_model.calibrated(np.zeros(len(part)), own.counts)
-                mass, found = np.zeros(len(part)), [[] for _ in range(len(part))]
+                some = np.flatnonzero(np.bincount(own.text, score > 0, minlength=len(part)))
                 ends = np.cumsum(own.counts)
-                for i in np.flatnonzero(some).tolist():
-                    best[i], mass[i], spans = own_model.summary(score[ends[i] - own.counts[i] : ends[i]])
-                    found[i] = [dict(zip(passage.names, s, strict=True)) for s in spans]
+                top, mass = np.zeros(len(part)), np.zeros(len(part))
+                place, spans = [], []
+                for i in some.tolist():
+                    n = int(own.counts[i])
+                    each = segments(score[ends[i] - n : ends[i]])
+                    totals = [t for _, _, t in each]
+                    top[i], mass[i] = max(totals), own_model.mass(totals, n)
+                    # Calibration is the same order as the score, so the bound finds the significant ones; rounding has the last word below.
+                    least = own_model.bound(n) - 1e-6
+                    far = [s for s in each if s[2] >= least]
+                    spans += far
+                    place += [i] * len(far)
+                best = own_model.calibrated(top, own.counts)
+                place, totals = np.array(place, np.int64), np.array([t for _, _, t in spans])
+                chance = own_model.chances(totals, own.counts[place])
+                found = [[] for _ in range(len(part))]
+                for i, (a, b, total), p in zip(place.tolist(), spans, chance.tolist(), strict=True):
+                    if p <= SIGNIFICANT:
+                        found[i].append({"first": a, "tokens": b - a, "score": total, "chance": p})
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(part)),

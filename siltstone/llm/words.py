@@ -122,6 +122,27 @@ def prefixes(data: np.ndarray, pieces: Pieces, size: int, fold: bool = True) ->
     return _hashed(_FOLD[data] if fold else data, pieces.start, np.minimum(pieces.end, pieces.start + size))
 
 
+def with_beginnings(data: np.ndarray, pieces: Pieces, sizes: tuple[int, ...], fold: bool = True) -> list[np.ndarray]:
+    """As ``prefixes`` for each of ``sizes``, from one run of sums over the bytes."""
+    data = _FOLD[data] if fold else data
+    out = [np.empty(len(pieces.start), np.uint64) for _ in sizes]
+    first = 0
+    while first < len(pieces.start):
+        low = int(pieces.start[first])
+        last = max(first + 1, int(np.searchsorted(pieces.end, low + SLICE_BYTES, "right")))
+        start = pieces.start[first:last] - low
+        # Of a last piece beyond the block only its beginning is asked for.
+        high = min(int(pieces.end[last - 1]), int(pieces.start[last - 1]) + max(sizes))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_VALUE[data[low:high]] * _power(_BASE, high - low), out=sums[1:])
+        shift = _power(_INVERSE, high - low + 1)[start]
+        for own, size in zip(out, sizes, strict=True):
+            end = np.minimum(pieces.end[first:last] - low, start + size)
+            own[first:last] = (sums[end] - sums[start]) * shift + (end - start).astype(np.uint64)
+        first = last
+    return [mix(own) for own in out]
+
+
 def lines(data: np.ndarray, at: np.ndarray) -> Pieces:
     """The lines of all texts, split at line feeds; an empty text has one empty line."""
     feeds = np.flatnonzero(data == 10)
