@@ -48,9 +48,9 @@ def _identity(text: Column) -> Column:
 
 def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per line with a key of enough code points: hashes, document, text identity, position."""
-    split = docs.where("doc_id IS NOT NULL").select(
-        "doc_id", _identity(F.col("text")).alias("_text"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")
-    )
+    # In a step of its own, so that the whole text is hashed once, not for each line.
+    whole = docs.where("doc_id IS NOT NULL").select("doc_id", _identity(F.col("text")).alias("_text"), lines_of(F.col("text")).alias("_lines"))
+    split = whole.select("doc_id", "_text", F.posexplode("_lines").alias("pos", "line"))
     keyed = split.select("doc_id", "_text", "pos", line_key(F.col("line")).alias("key"))
     return keyed.where(F.char_length("key") >= min_chars).select(
         F.xxhash64("key").alias("_h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("_h2"), "doc_id", "_text", "pos"
