@@ -23,7 +23,14 @@ pivots grows by rounds, so no pair of different components remains unverified
 and no link between different components is lost.  Tokens that no other indexed
 set holds bound the overlap of a set with any other: pairs, and sets whose entry
 has no partner within the bound, need no verification, and sets with few such
-tokens, the middle of their group, are pivots first.
+tokens, the middle of their group, are pivots first.  Tokens also set bits, and
+bits of one set alone bound the overlap of a pair.
+
+Similar sets share many entries, and a pair needs to meet in one.  Each set
+brings its few smallest signatures, which similar sets mostly share, and a pair
+is passed over in an entry if both sides bring a smaller one: it is met there,
+or below that again, because an entry that holds both stays open until one of
+them has been its pivot or one component holds both.
 
 Defined cases: null texts and texts without words have an empty set and are
 alone; texts of fewer words than a shingle have the whole sequence as their one
@@ -50,6 +57,8 @@ COUNTED = 0.3125  # share of the hash space whose tokens are counted and come fi
 FREQUENT = 12  # documents from which on a token is frequent
 TOKENS_PER_CLASS = 32  # of a set, for each class of frequent tokens
 PIVOT_GROWTH = 16  # pivots of an index entry: 1, 16, 256, ... by rounds
+SMALLEST = 8  # signatures of a set by which pairs that meet in several entries are met in one
+WORDS = 8  # of 64 bits, into which the tokens of a set are thrown
 _LIMIT = np.int64(int(-(2**63) + COUNTED * 2**64))
 
 
@@ -226,22 +235,36 @@ def own_tokens(sets: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
+def marks(tokens):
+    """The bits of a set: each token sets one, so a bit of one set alone is a token of it alone."""
+    word = lambda t: F.call_function("shiftrightunsigned", t, F.lit(6)).bitwiseAND(F.lit(WORDS - 1))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+    one = lambda w: F.aggregate(F.filter(tokens, lambda t: word(t) == w), F.lit(0).cast("bigint"), lambda s, t: s.bitwiseOR(bit(t)))
+    return F.transform(F.array(*(F.lit(w).cast("bigint") for w in range(WORDS))), one)
+
+
+def _alone(a, b):
+    """Tokens that a set has and another has not, at least, by their marks."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
+
+
 def _within(overlap, total, similar):
     """Whether sets of ``total`` tokens together can be similar with at most this overlap."""
     return similar[1] * overlap >= similar[0] * (total - overlap)
 
 
 def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame:
-    """``node, root`` of the nodes with links, from index entries ``live(sig, node, n, common)``.
+    """``node, root`` of the nodes with links, from index entries ``live(sig, node, n, common, few, marks)``.
 
-    ``common`` is the number of tokens that some other of the ``sets`` holds.
+    ``common`` is the number of tokens that some other of the ``sets`` holds,
+    ``few`` the smallest signatures of all entries of the node, ``marks`` the bits of its set.
     """
     kind = live.schema["node"].dataType
     roots = live.sparkSession.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
     failed, number, before = None, 1, None
     while True:
         rows = live.join(roots, "node", "left").select(
-            "sig", "node", "n", "common", F.coalesce("root", "node").alias("root")
+            "sig", "node", "n", "common", "few", "marks", F.coalesce("root", "node").alias("root")
         )
         ends = rows.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("n").alias("_least"))
         rows = rows.join(ends.where("_lo <> _hi").select("sig", "_least"), "sig")
@@ -258,9 +281,13 @@ def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame
         order = Window.partitionBy("sig").orderBy(middle, F.xxhash64("node"), "node")
         pivots = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= number)
         pivots = pivots.select(
-            "sig", F.col("node").alias("_pivot"), F.col("n").alias("_pn"), F.col("common").alias("_pc"), F.col("root").alias("_proot")
-        )
+            "sig", F.col("node").alias("_pivot"), F.col("n").alias("_pn"), F.col("common").alias("_pc"), F.col("root").alias("_proot"),
+            F.col("few").alias("_pfew"), F.col("marks").alias("_pmarks"),
+        )
         near = _within(F.least("common", "_pc"), F.col("n") + F.col("_pn"), similar) & (F.col("root") != F.col("_proot"))
+        near &= ~F.coalesce(F.array_min(F.array_intersect("few", "_pfew")) < F.col("sig"), F.lit(False))
+        most = F.least(F.col("n") - _alone(F.col("marks"), F.col("_pmarks")), F.col("_pn") - _alone(F.col("_pmarks"), F.col("marks")))
+        near &= _within(most, F.col("n") + F.col("_pn"), similar)
         pairs = rows.join(pivots, "sig").where(near).select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b"))
         pairs = pairs.distinct()
         if failed is not None:
@@ -281,7 +308,7 @@ def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame
             later = durable(kept.unionByName(fresh))
             discard(roots, merged)
             roots = later
-        live = rows.select("sig", "node", "n", "common").join(
+        live = rows.select("sig", "node", "n", "common", "few", "marks").join(
             pivots.select("sig", F.col("_pivot").alias("node")), ["sig", "node"], "left_anti"
         )
         number *= PIVOT_GROWTH
@@ -323,7 +350,9 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similar=SIMILAR) ->
     whole = token_sets(texts, size).join(wanted, ["doc_id", "tag"]).where(F.size("tokens") == F.col("n"))
     whole = durable(whole.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "tokens"))
     common = F.col("n") - F.coalesce("alone", F.lit(0))
-    entries = live.join(own_tokens(whole), "node", "left").select("sig", "node", "n", common.alias("common"))
+    few = live.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, SMALLEST).alias("few"))  # a set's entries at most
+    entries = live.join(own_tokens(whole), "node", "left").join(few, "node")
+    entries = entries.join(whole.select("node", marks(F.col("tokens")).alias("marks")), "node").select("sig", "node", "n", common.alias("common"), "few", "marks")
     roots = link_classes(entries, whole, similar)
     discard(live, whole)
 
