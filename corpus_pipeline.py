@@ -3,6 +3,13 @@
 Low-quality documents go, lines that many documents share go, one document of
 each group of near duplicates stays (the one of the smallest id), sources are
 mixed to target weights by repeating documents, and the mix is encoded.
+
+Defined cases: null and empty texts are scored, split, mixed and encoded like
+others (they are no one's near duplicates); rows without ``doc_id`` go through
+every stage on their own; of rows that repeat a ``doc_id`` all stay or go
+together where near duplicates go, so equal rows of one id both stay; ties need
+no rule but that the smallest id of a group stays; an empty table gives an empty
+table; further columns, whatever their names, are kept until the last stage.
 """
 
 from __future__ import annotations
@@ -21,8 +28,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     learnable = labelled.fold(F.col("doc_id"), 5) != 0
     labels = table(spark, sf_dir, "labels").where(learnable)
     network, _ = quality.fit(docs, labels, learnable=learnable)
-    scored = quality.score_texts(docs, network, tuple(docs.columns))
-    return scored.where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    # Columns travel under names that no table has, so that none can be called as the score is.
+    inner = {c: c if c == "text" else f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    scored = quality.score_texts(docs.select(*(F.col(c).alias(i) for c, i in inner.items())), network, tuple(inner.values()))
+    return scored.where(F.col("score") >= THRESHOLD).select(*(F.col(i).alias(c) for c, i in inner.items()))
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

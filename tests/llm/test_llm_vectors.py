@@ -101,3 +101,19 @@ def test_pipeline_stages(spark):
     assert coded.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and coded.count() == docs.count()
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, coded.collect()))
+
+
+def test_pipeline_of_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    given = table(spark, sf, "documents")
+    odd = spark.createDataFrame([(None, None), (10**6, ""), (10**6 + 1, None), (10**6 + 2, "one two three four five " * 30), (None, "x " * 60)], "doc_id bigint, text string")
+    docs = given.unionByName(odd.unionByName(odd), allowMissingColumns=True)
+    docs = docs.withColumns({"score": F.lit("a"), "n_lines": F.lit(1), "size": F.lit(2), "component_id": F.lit(3), "_kept_0": F.lit(4)})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == columns, name
+    assert docs.where("score = 'a'").count() == docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, given.limit(0), sf).collect() == [], name
