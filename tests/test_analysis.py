@@ -2,7 +2,7 @@ import zipfile
 
 from siltstone.plans.analysis import analyze
 from siltstone.sources.tables import Collections
-from siltstone.streaming.rules_stream import run_available, stream_fingerprints, stream_functions, stream_issues, stream_tree
+from siltstone.streaming.rules_stream import run_available_files, stream_fingerprints, stream_issues, stream_tree
 
 SOURCES = {
     "a.py": "import b\n\ndef f(x):\n    return eval(x)\n\ndef g():\n    return f(1)\n",
@@ -67,14 +67,14 @@ def test_empty_tree(spark, tmp_path):
 def test_streams_equal_batches(spark, tmp_path):
     root = write(tmp_path / "src")
     batch = analyze(spark, root, str(tmp_path / "out"))
-    functions = stream_functions(stream_tree(spark, root))
+    files = stream_tree(spark, root)
     out, state = str(tmp_path / "rows"), str(tmp_path / "state")
-    streamed = run_available(stream_issues(functions), out, state)
+    streamed = run_available_files(files, stream_issues, out, state)
     rules = batch.issues.where("phase = 0")
     key = ("file", "function", "rule_id", "severity")
     assert sorted(map(tuple, streamed.select(*key).collect())) == sorted(map(tuple, rules.select(*key).collect()))
     (tmp_path / "src" / "late.py").write_text("def late(): exec('')\n")
-    again = run_available(stream_issues(functions), out, state)
+    again = run_available_files(files, stream_issues, out, state)
     assert {r.rule_id for r in again.where("file = 'late.py'").collect()} == {"R1", "R15"}
-    prints = run_available(stream_fingerprints(functions))
+    prints = run_available_files(files, stream_fingerprints)
     assert prints.count() == 5
