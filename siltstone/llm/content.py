@@ -3,11 +3,14 @@
 A page is read once into blocks of text, each with its root-to-leaf path of
 block elements.  Per path the text length and the punctuation per block are
 averaged, smoothed along the page, fused into one score and compared with a
-threshold; the blocks of the paths that pass are the content.  What the page
-itself declares counts too: elements that are never content score nothing, nor
-do those with a whole class, id or role that says so, unless they hold an article
-or most of the page's text; within an article only paths made of links must pass.
-Headings belong to the content that they stand in.
+share of the page's typical score; the blocks of the paths that pass are the
+content.  What the page itself declares is a prior that multiplies a path's
+score: links lower it, so does each element around it with a whole class, id or
+role of furniture, unless that holds an article, and so do bare containers in
+place of paragraphs and items.  Text in ``article`` or ``main`` gains, and text
+beside it loses, the more of the page's text stands there; a small teaser loses.
+Only elements that are never content by their name are left out unread.
+Headings belong to the content that they stand in or stand before.
 
 Each page is worked on alone in Arrow batches, in time linear in its length.
 Defined cases: null or empty html gives an empty text; broken markup is read as
@@ -41,6 +44,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
 ROOTS = frozenset(("html", "body", "article", "main"))
 CLOSES_ITS_OWN = frozenset("li dt dd tr td th option".split())
+PROSE = frozenset("p li dt dd td th caption figcaption blockquote pre".split())
 HOLDS_ITEMS = frozenset("ul ol dl table tbody thead tfoot".split())
 # Whole classes, ids and roles, not parts of hyphenated ones, that mark what is not content.
 MARKS = frozenset(
@@ -51,10 +55,13 @@ MARKS = frozenset(
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 SMOOTHING = (0.25, 0.5, 0.25)
-THRESHOLD = 0.5  # of the standard deviation of the fused scores of a page
+THRESHOLD = 0.25  # of the page's typical score
+THRESHOLD_INSIDE = 0.08  # the same for text in article or main, where short items are usual
 LINK_SHARE = 0.8  # a path with more of its text in links is made of links
 LINK_WEIGHT = 0.05
-MOST = 0.5  # a form, a header or a marked element with more of a page's text is kept for the ratios to judge
+MARK_WEIGHT = 1 / 64  # for each marked element around a block
+BARE_WEIGHT = 1 / 16  # of text in no element of PROSE
+ARTICLE_ODDS = 8.0  # of text inside or beside an article that holds all or none of the page's text
 SPARED = frozenset(("form",))  # elements of NEVER that pages wrap around their content
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^"'>])*+)>?|[!?/][^>]*>?)""", re.S)
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -68,7 +75,9 @@ class Block:
     linked: int  # characters inside links
     article: bool
     heading: bool
+    prose: bool
     mark: int = -1  # the innermost marked element around it
+    marks: int = 0  # marked elements around it that hold no article
 
 
 @dataclass
@@ -98,7 +107,7 @@ class _Page:
             top = next(e for e in reversed(self.stack) if e.name not in INLINE)
             if own and not self.stack[-1].never:
                 path = tuple(e.label for e in self.stack if e.name not in INLINE)
-                self.blocks.append(Block(path, own, self.linked, top.article, top.name in HEADINGS, self.stack[-1].mark))
+                self.blocks.append(Block(path, own, self.linked, top.article, top.name in HEADINGS, top.name in PROSE, self.stack[-1].mark))
         self.text, self.linked = [], 0
 
     def add(self, text: str) -> None:
@@ -147,21 +156,17 @@ class _Page:
         self.links += name == "a"
         self.stack.append(_Open(name, label, never, article, mark))
 
-    def unmarked(self) -> list[Block]:
-        """The blocks outside marked elements, but for those that hold an article or most of the text."""
-        size = [0] * len(self.around)
-        for b in self.blocks:
-            if b.mark >= 0:
-                size[b.mark] += len(b.text)
-        for m in range(len(size) - 1, -1, -1):  # inner ones come later
+    def marked(self) -> list[Block]:
+        """The blocks, each with the number of marked elements around it that hold no article."""
+        for m in range(len(self.around) - 1, -1, -1):  # inner ones come later
             if self.around[m] >= 0:
-                size[self.around[m]] += size[m]
                 self.holds[self.around[m]] |= self.holds[m]
-        most = MOST * sum(len(b.text) for b in self.blocks)
-        stays: list[bool] = []
+        depth: list[int] = []
         for m, outer in enumerate(self.around):
-            stays.append((self.holds[m] or size[m] > most) and (outer < 0 or stays[outer]))
-        return [b for b in self.blocks if b.mark < 0 or stays[b.mark]]
+            depth.append((depth[outer] if outer >= 0 else 0) + (not self.holds[m]))
+        for b in self.blocks:
+            b.marks = depth[b.mark] if b.mark >= 0 else 0
+        return self.blocks
 
     def end(self, name: str) -> None:
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -192,40 +197,63 @@ def blocks_of(html: str) -> list[Block]:
                     at = close.end() if close else len(html)
                     page.end(name)
     page.flush()
-    return page.unmarked()
+    return page.marked()
 
 
-def chosen(blocks: list[Block]) -> list[bool]:
-    """Which blocks are content."""
-    if not blocks:
-        return []
+def _priors(blocks: list[Block], length: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """What the names of the elements around a block say, as a factor of its score."""
+    prior = np.where(linked, LINK_WEIGHT, 1.0)
+    prior *= MARK_WEIGHT ** np.minimum([b.marks for b in blocks], 100)  # far below any score, above zero
+    prior *= np.where([b.prose or b.heading for b in blocks], 1.0, BARE_WEIGHT)
+    inside = np.array([b.article for b in blocks])
+    if inside.any():
+        weight = length * prior**2  # furniture counts for little, however long
+        lean = 2 * weight[inside].sum() / weight.sum() - 1
+        prior *= ARTICLE_ODDS ** np.where(inside, lean, -lean)
+    return prior
+
+
+def path_scores(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each block's path, and the score of that path: its fused ratios times its prior."""
     number: dict[tuple, int] = {}
-    of = np.array([number.setdefault(b.path, len(number)) for b in blocks])
+    of = np.array([number.setdefault((b.path, b.marks), len(number)) for b in blocks])
     nodes = np.bincount(of)
     length = np.array([len(b.text) for b in blocks], float)
     signs = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
     total = np.bincount(of, length)
     links = np.bincount(of, [b.linked for b in blocks]) > LINK_SHARE * total
-    text_ratio, sign_ratio = (total / nodes)[of], (np.bincount(of, signs) / nodes)[of]
 
     def smooth(x):
         return np.convolve(np.pad(x, 1, mode="edge"), SMOOTHING, "valid")
 
-    fused = smooth(text_ratio) * (1 + smooth(sign_ratio)) * np.where(links[of], LINK_WEIGHT, 1.0)
-    score = np.bincount(of, fused) / nodes
-    inside = np.array([b.article for b in blocks])
+    text_ratio, sign_ratio = smooth((total / nodes)[of]), smooth((np.bincount(of, signs) / nodes)[of])
+    # Logarithms: a short item beside long paragraphs is still of their order.
+    fused = np.log1p(text_ratio) * (1 + np.log1p(sign_ratio)) * _priors(blocks, length, links[of])
+    return of, np.bincount(of, fused) / nodes
+
+
+def chosen(blocks: list[Block]) -> list[bool]:
+    """Which blocks are content."""
+    if not blocks:
+        return []
+    of, score = path_scores(blocks)
+    own = score[of]
     heading = np.array([b.heading for b in blocks])
-    if inside.any():  # the page says where its content is
-        keep = inside & ~links[of]
-        if not keep.any():
-            keep = inside
-    else:
-        plain = score[np.unique(of[~heading])] if (~heading).any() else score
-        keep = (score[of] >= min(THRESHOLD * fused.std(), plain.max())) & ~heading
-        homes = {b.path[:-1] for b, k in zip(blocks, keep, strict=True) if k}
-        keep |= heading & np.array([b.path[:-1] in homes for b in blocks])
-        if not keep.any():
-            keep = ~links[of]
+    inside = np.array([b.article for b in blocks])
+    # The typical score, in which text counts by its length and its score; headings only where there is nothing else.
+    weight = own * [len(b.text) for b in blocks] * (1.0 if heading.all() else ~heading)
+    typical = (weight * own).sum() / weight.sum()
+    keep = own >= typical * np.where(inside, THRESHOLD_INSIDE, THRESHOLD)
+    if heading.all():
+        return keep.tolist()
+    keep &= ~heading
+    homes = {b.path[:-1] for b, k in zip(blocks, keep, strict=True) if k}
+    follows = False  # whether the next block that is no heading is content of an article
+    for i in range(len(blocks) - 1, -1, -1):
+        if heading[i]:
+            keep[i] = blocks[i].path[:-1] in homes or (follows and inside[i])
+        else:
+            follows = bool(keep[i] and inside[i])
     return keep.tolist()
 
 

@@ -58,6 +58,37 @@ def test_names_that_only_resemble_marks_drop_nothing(html, text):
     assert content.main_text(html) == text + "A first paragraph, with bold text & signs. And more, of it."
 
 
+LONG = "This paragraph is long, has a comma or two, and ends with a stop. So does this one, which goes on a bit."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # An unmarked advert inside an article goes, in a short and in a long one.
+        (page(f"<article><p>{LONG}</p><div>Buy cheap now</div><p>{LONG}</p></article>"), [LONG] * 2),
+        (page(f"<article>{f'<p>{LONG}</p>' * 20}<div>Buy cheap now</div>{f'<p>{LONG}</p>' * 20}</article>"), [LONG] * 40),
+        # A teaser article beside the real text does not stand for the page.
+        (page(f"<article><p>Read this next one</p></article><div>{f'<p>{LONG}</p>' * 6}</div>"), [LONG] * 6),
+        # Comments go, even where they are most of the page, with an article and without.
+        (page(f'<div><p>{LONG}</p></div><div class="comments">{f"<p>{LONG}</p>" * 9}</div>'), [LONG]),
+        (page(f'<article><p>{LONG}</p></article><div class="comments">{f"<p>{LONG}</p>" * 200}</div>'), [LONG]),
+        # Short items and cells of an article stay, beside very long paragraphs too.
+        (page(f"<article><p>{LONG}</p><ul>{'<li>An item</li>' * 20}</ul></article>"), [LONG] + ["An item"] * 20),
+        (page(f"<article><p>{LONG * 20}</p><ul><li>One</li><li>Two</li></ul></article>"), [LONG * 20, "One", "Two"]),
+        # Long unmarked text beside an article that holds the page's text goes; lists of links inside it go.
+        (page(f"<article>{f'<p>{LONG}</p>' * 9}<ul><li><a href=x>Next, one</a></ul></article><div><p>{LONG}</p></div>"), [LONG] * 9),
+        # An advert inside a form that holds the page; a heading in a header of its own.
+        (f'<form>{page(f"<p>{LONG}</p><div class=ad><p>{LONG}</p></div>")}</form>', [LONG]),
+        (page(f"<article><header><h1>Title</h1></header><div><p>{LONG}</p></div></article>"), ["Title", LONG]),
+        # Nothing but headings, nothing but text in bare containers.
+        ("<h1>One</h1><h1>Two</h1>", ["One", "Two"]),
+        (f"<div>{LONG}</div><div>{LONG}</div>", [LONG] * 2),
+    ],
+)
+def test_ratios_decide_and_names_are_a_prior(html, text):
+    assert content.main_text(html) == "\n".join(text)
+
+
 def test_long_broken_pages_take_linear_time():
     assert len(content.main_text("<" * 300_000)) >= 0
     assert content.main_text("<p a='" + "x" * 300_000) == ""
