@@ -4,18 +4,24 @@ Plain counts of a text give base rules and a vector of transformed statistics.
 Per language and source the minimum-covariance-determinant estimate of centre
 and scatter is approached by concentration steps from two starts: rows are
 ranked by their Mahalanobis distance, the nearest three quarters give the next
-estimate, and of the last estimates that of the smaller determinant counts.  A
-text whose squared distance exceeds a chi-square bound is rejected.
+estimate, until a step makes the determinant no smaller, and of the two estimates
+that of the smaller determinant counts.  A text whose squared distance exceeds a
+chi-square bound is rejected.
+
+Groups of any size are judged alike: the estimate of a group is drawn towards
+that of its language, and that of a language towards that of all rows, as if
+``PRIOR_ROWS`` rows of the wider estimate were added to it.
 
 A step is one aggregate for all groups together: sums and products per group,
-start and step of distance (a fixed number of steps), pre-aggregated before the
-shuffle, so a group that holds a third of all rows is no special case.
-Statistics are whole thousandths, so sums are exact and reruns agree.
+start and bin of distance (bins of equal ratio, so their number does not grow with
+the rows), pre-aggregated before the shuffle, so a group that holds a third of
+all rows is no special case.  The bin in which the three quarters end counts by
+the share of it that is needed.  Statistics are whole thousandths, so sums are
+exact and reruns agree.
 
 Defined cases: a null text has no words; null language and null source are
-values of their own; a group with fewer than ``LEAST`` rows that pass the base
-rules is judged by the estimate of its language, and that of a language with as
-few by the estimate of all rows; only a table with fewer such rows altogether
+values of their own; a group or language without rows that pass the base rules
+takes the wider estimate; a table with fewer than ``LEAST`` such rows altogether
 has no estimate and is judged by the base rules alone; repeated rows each count;
 an empty table gives an empty table.
 """
@@ -29,14 +35,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from siltstone.llm import textstats, words
-from siltstone.session import durable
+from siltstone.session import discard, durable
 
 MIN_WORDS = 50
 COVERAGE = 0.75  # share of a group that an estimate rests on
-LEAST = 30  # rows that pass, five for each statistic, for an estimate
-STEPS = 4
+LEAST = 30  # rows that pass, five for each statistic, for an estimate of all rows
+PRIOR_ROWS = 60  # of the wider estimate in that of a group, ten for each statistic
+SETTLED = 0.01  # a step that lowers the logarithm of the determinant by less is the last
 CERTAINTY = 0.999  # of the chi-square bound
 UNIT = 1000  # statistics are kept in thousandths
 BINS_PER_DOUBLING = 16
@@ -118,7 +126,7 @@ def consistency() -> float:
     return COVERAGE / max(low, 1e-6)
 
 
-PARAMETERS = "_group string, _start int, rows bigint, centre array<double>, inverse array<double>, log_det double"
+PARAMETERS = "_group string, _start int, centre array<double>, scatter array<double>, inverse array<double>, log_det double"
 
 
 def _floored(scatter: np.ndarray) -> np.ndarray:
@@ -139,8 +147,8 @@ def _estimate(sums: pd.DataFrame, scale: float) -> pd.DataFrame:
             scatter[i, j] = scatter[j, i] = float(row[f"p{i}_{j}"]) / n - centre[i] * centre[j]
         scatter = _floored(scale * scatter / UNIT**2)
         inverse, log_det = np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])
-        out.append((row["_group"], row["_start"], int(n), (centre / UNIT).tolist(), inverse, log_det))
-    return pd.DataFrame(out, columns=["_group", "_start", "rows", "centre", "inverse", "log_det"])
+        out.append((row["_group"], row["_start"], (centre / UNIT).tolist(), scatter.ravel().tolist(), inverse, log_det))
+    return pd.DataFrame(out, columns=["_group", "_start", "centre", "scatter", "inverse", "log_det"])
 
 
 def _estimates(sums: DataFrame, scale: float) -> DataFrame:
@@ -151,16 +159,15 @@ def _estimates(sums: DataFrame, scale: float) -> DataFrame:
     return sums.mapInPandas(run, PARAMETERS)
 
 
+# Text of expressions, which each step uses again: built of columns they would cost more than small steps do.
 def _sums() -> list[Column]:
-    single = [F.sum(c).alias(f"s{i}") for i, c in enumerate(STATISTICS)]
+    single = [F.expr(f"sum({c}) AS s{i}") for i, c in enumerate(STATISTICS)]
     # Decimals: products of thousandths may exceed 64 bits over very many rows.
-    double = [F.sum((F.col(STATISTICS[i]) * F.col(STATISTICS[j])).cast("decimal(20,0)")).alias(f"p{i}_{j}") for i, j in PAIRS]
-    return [F.count("*").alias("n"), *single, *double]
+    double = [F.expr(f"sum(CAST({STATISTICS[i]} * {STATISTICS[j]} AS decimal(20,0))) AS p{i}_{j}") for i, j in PAIRS]
+    return [F.expr("count(*) AS n"), *single, *double]
 
 
-def _again() -> list[Column]:
-    names = ["n", *(f"s{i}" for i in range(DIM)), *(f"p{i}_{j}" for i, j in PAIRS)]
-    return [F.sum(c).alias(c) for c in names]
+NAMES = ["n", *(f"s{i}" for i in range(DIM)), *(f"p{i}_{j}" for i, j in PAIRS)]
 
 
 def _with(rows: DataFrame, parameters: DataFrame, groups: int) -> DataFrame:
@@ -173,55 +180,80 @@ def _with(rows: DataFrame, parameters: DataFrame, groups: int) -> DataFrame:
 
 
 def squared_distance() -> Column:
-    off = [F.col(c) / UNIT - F.col("centre")[i] for i, c in enumerate(STATISTICS)]
-    terms = [
-        (1 if i == j else 2) * off[i] * off[j] * F.col("inverse")[i * DIM + j]
-        for i, j in PAIRS
-    ]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+    off = [f"({c} / {UNIT} - centre[{i}])" for i, c in enumerate(STATISTICS)]
+    return F.expr(" + ".join(f"{1 if i == j else 2} * {off[i]} * {off[j]} * inverse[{i * DIM + j}]" for i, j in PAIRS))
 
 
-def robust_estimates(vectors: DataFrame, groups: int) -> DataFrame:
-    """``_group, centre, inverse`` of the rows ``vectors(_group, <STATISTICS>)``, for groups with enough rows."""
-    whole = durable(vectors.groupBy("_group").agg(*_sums()).where(F.col("n") >= LEAST))
-    # Starts: all rows, and the rows near the coordinate-wise medians.
-    middle = vectors.groupBy("_group").agg(
-        *(F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(STATISTICS)),
-        *(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(f"q{i}") for i, c in enumerate(STATISTICS)),
-    )
+def _quartiles(vectors: DataFrame) -> DataFrame:
+    """``_group, q array<array<bigint>>``: lower quartile, median and upper quartile of each statistic, from exact counts."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), F.col(c).alias("_v")) for i, c in enumerate(STATISTICS))))
+    counts = vectors.select("_group", each.alias("_e")).groupBy("_group", "_e._i", "_e._v").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_group", "_i")
+    placed = counts.withColumn("_to", F.sum("_n").over(whole.orderBy("_v"))).withColumn("_all", F.sum("_n").over(whole))
+    cuts = [F.min(F.when(F.col("_to") >= share * F.col("_all"), F.col("_v"))) for share in (0.25, 0.5, 0.75)]
+    of = placed.groupBy("_group", "_i").agg(F.array(*cuts).alias("_q"))
+    ordered = F.sort_array(F.collect_list(F.struct("_i", "_q")))  # one entry for each statistic
+    return of.groupBy("_group").agg(F.transform(ordered, lambda e: e["_q"]).alias("q"))
+
+
+def _middles(vectors: DataFrame) -> DataFrame:
+    """Parameters of a start at the medians, with the spread of the quartiles."""
     spread = [
-        F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / (1.349 * UNIT), F.lit(FLOORS[i])) for i in range(DIM)
+        F.greatest((F.col("q")[i][2] - F.col("q")[i][0]) / (1.349 * UNIT), F.lit(FLOORS[i])) for i in range(DIM)
     ]
     zero = F.lit(0.0)
-    diagonal = F.array(*(1 / (spread[i] * spread[i]) if i == j else zero for i in range(DIM) for j in range(DIM)))
-    second = middle.join(whole.select("_group"), "_group", "left_semi").select(
+    square = lambda own: F.array(*(own(spread[i]) if i == j else zero for i in range(DIM) for j in range(DIM)))
+    return _quartiles(vectors).select(
         "_group",
         F.lit(2).alias("_start"),
-        F.lit(0).cast("bigint").alias("rows"),
-        F.array(*(F.col(f"m{i}") / UNIT for i in range(DIM))).alias("centre"),
-        diagonal.alias("inverse"),
-        F.lit(0.0).alias("log_det"),
+        F.array(*(F.col("q")[i][1] / UNIT for i in range(DIM))).alias("centre"),
+        square(lambda x: x * x).alias("scatter"),
+        square(lambda x: 1 / (x * x)).alias("inverse"),
+        zero.alias("log_det"),
+    )
+
+
+def _nearest(vectors: DataFrame, current: DataFrame, needed: DataFrame, groups: int) -> DataFrame:
+    """Sums over the nearest rows, ``needed(_group, _need)`` of them, per group and start."""
+    placed = _with(vectors, current.select("_group", "_start", "centre", "inverse"), groups).withColumn(
+        "_bin", F.round(F.log2(squared_distance() + 1e-6) * BINS_PER_DOUBLING).cast("int")
     )
-    current = durable(_estimates(whole.withColumn("_start", F.lit(1)), 1.0).unionByName(second))
+    binned = placed.groupBy("_group", "_start", "_bin").agg(*_sums())
+    upto = F.sum("n").over(Window.partitionBy("_group", "_start").orderBy("_bin"))
+    running = binned.withColumn("_to", upto).join(needed, "_group").where(F.col("_to") - F.col("n") < F.col("_need"))
+    # Of the last bin, one row, a share: whole bins add up exactly, in any order.
+    running = running.withColumn("_share", F.expr("least(1, (_need - _to + n) / n)"))
+    part = lambda c, which: f"coalesce(CAST(sum(CASE WHEN _share {which} THEN {c} END) AS double), 0D)"
+    sums = [F.expr(f"{part(c, '= 1')} + {part(f'{c} * _share', '< 1')} AS {c}") for c in NAMES]
+    return running.groupBy("_group", "_start").agg(*sums)
+
+
+def robust_estimates(vectors: DataFrame, groups: int) -> DataFrame:
+    """``_group, rows, centre, scatter`` of the rows ``vectors(_group, <STATISTICS>)``."""
+    whole = durable(vectors.groupBy("_group").agg(*_sums()))
+    needed = whole.select("_group", (F.col("n") * COVERAGE).alias("_need"))
+    # Starts: all rows, and the rows near the coordinate-wise medians.
+    starts = _estimates(whole.withColumn("_start", F.lit(1)), 1.0).unionByName(_middles(vectors))
+    none = F.lit(float("inf"))
+    state = durable(starts.withColumns({"log_det": none, "moving": F.lit(True)}))
     scale = consistency()
-    for _ in range(STEPS):
-        placed = _with(vectors, current, groups).withColumn(
-            "_bin", F.round(F.log2(squared_distance() + 1e-6) * BINS_PER_DOUBLING).cast("int")
-        )
-        binned = durable(placed.groupBy("_group", "_start", "_bin").agg(*_sums()))
-        needed = whole.select("_group", F.ceil(F.col("n") * COVERAGE).alias("_need"))
-        running = binned.select("_group", "_start", "_bin", "n").alias("a").join(
-            binned.select("_group", "_start", F.col("_bin").alias("_to"), F.col("n").alias("_m")), ["_group", "_start"]
-        )
-        reach = running.where("_to <= _bin").groupBy("_group", "_start", "_bin").agg(F.sum("_m").alias("_have"))
-        cut = reach.join(needed, "_group").where("_have >= _need").groupBy("_group", "_start").agg(F.min("_bin").alias("_cut"))
-        nearest = binned.join(cut, ["_group", "_start"]).where("_bin <= _cut").groupBy("_group", "_start").agg(*_again())
-        current = durable(_estimates(nearest, scale))
-    best = F.min_by(F.struct("centre", "inverse"), F.struct("log_det", "_start")).alias("best")
-    return durable(current.groupBy("_group").agg(best).select("_group", "best.centre", "best.inverse"))
+    while True:
+        moving = state.where("moving")
+        if moving.isEmpty():
+            break
+        later = _estimates(_nearest(vectors, moving, needed, groups), scale).alias("l")
+        both = later.join(moving.drop("moving").alias("s"), ["_group", "_start"])
+        lower = F.col("l.log_det") < F.col("s.log_det") - SETTLED
+        picked = [F.when(lower, F.col(f"l.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in ("centre", "scatter", "inverse", "log_det")]
+        moved = both.select("_group", "_start", *picked, lower.alias("moving"))
+        following = durable(moved.unionByName(state.where("NOT moving")))
+        discard(state)
+        state = following
+    best = F.min_by(F.struct("centre", "scatter"), F.struct("log_det", "_start")).alias("best")
+    chosen = state.groupBy("_group").agg(best).select("_group", "best.centre", "best.scatter")
+    found = durable(chosen.join(whole.select("_group", F.col("n").alias("rows")), "_group"))
+    discard(state, whole)
+    return found
 
 
 ALL = "all"  # the group of all rows
@@ -232,39 +264,55 @@ def _wider(lang: str) -> Column:
     return F.concat(F.lit("lang "), F.to_json(F.struct(lang)))
 
 
-def _homes(sizes: DataFrame) -> DataFrame:
-    """``_group, _lang, _home``: the smallest group around ``_group`` with enough rows for an estimate, null if there is none."""
-    langs = sizes.groupBy("_lang").agg(F.sum("n").alias("_of_lang"))
-    whole = sizes.agg(F.sum("n").alias("_of_all"))
-    home = (
-        F.when(F.col("n") >= LEAST, F.col("_group"))
-        .when(F.col("_of_lang") >= LEAST, F.col("_lang"))
-        .when(F.col("_of_all") >= LEAST, F.lit(ALL))
-    )
-    return sizes.join(langs, "_lang").crossJoin(F.broadcast(whole)).select("_group", "_lang", home.alias("_home"))
+def _drawn(own: DataFrame, wider: DataFrame, key: str) -> DataFrame:
+    """``own(_group, <key>)`` with ``rows, centre, scatter`` drawn towards those of ``wider``, by the rows of its own."""
+    # A group without rows has no centre of its own and takes the wider one.
+    share = F.coalesce(F.col("rows"), F.lit(0)) / (F.coalesce(F.col("rows"), F.lit(0)) + PRIOR_ROWS)
+    mixed = {
+        c: F.when(F.col(c).isNull(), F.col(f"_{c}")).otherwise(
+            F.zip_with(c, f"_{c}", lambda x, y: share * x + (1 - share) * y)
+        )
+        for c in ("centre", "scatter")
+    }
+    around = wider.select(F.col("_group").alias(key), F.col("centre").alias("_centre"), F.col("scatter").alias("_scatter"))
+    return own.join(around, key).withColumns(mixed).drop("_centre", "_scatter", key)
+
+
+def _inverted(estimates: DataFrame) -> DataFrame:
+    """``_group, centre, inverse`` of ``estimates(_group, centre, scatter)``."""
+
+    def run(frames):
+        for frame in frames:
+            inverse = [np.linalg.inv(np.reshape(s, (DIM, DIM))).ravel().tolist() for s in frame["scatter"]]
+            yield frame[["_group", "centre"]].assign(inverse=inverse)
+
+    return estimates.select("_group", "centre", "scatter").mapInPandas(run, "_group string, centre array<double>, inverse array<double>")
 
 
-def _members(homes: DataFrame) -> DataFrame:
-    """``_group, _fit``: each estimate that is needed and the groups whose rows it rests on."""
-    needed = homes.select(F.col("_home").alias("_fit")).distinct()
-    around = homes.select("_group", F.explode(F.array("_group", "_lang", F.lit(ALL))).alias("_fit"))
-    return around.join(needed, "_fit", "left_semi").select("_group", "_fit")
+def group_estimates(vectors: DataFrame, sizes: DataFrame, groups: int) -> DataFrame:
+    """``_group, centre, inverse`` of all groups of ``sizes(_group, _lang)``; none if too few rows pass altogether."""
+    levels = vectors.withColumn("_group", F.explode(F.array("_group", "_lang", F.lit(ALL)))).drop("_lang")
+    found = robust_estimates(levels, groups)
+    top = found.where((F.col("_group") == ALL) & (F.col("rows") >= LEAST))
+    langs = sizes.select(F.col("_lang").alias("_group"), F.lit(ALL).alias("_top")).distinct()
+    langs = _drawn(langs.join(found, "_group", "left"), top, "_top")
+    own = _drawn(sizes.select("_group", "_lang").join(found, "_group", "left"), langs, "_lang")
+    return durable(_inverted(own))
 
 
 def judge(docs: DataFrame, certainty: float = CERTAINTY) -> DataFrame:
     """``doc_id, lang, source``, the counts, ``base_failed``, ``distance`` (squared, null without estimate) and ``kept``."""
     group = F.to_json(F.struct("lang", "source"))
     table = durable(
-        text_counts(docs).withColumn("base_failed", base_failed()).withColumn("_group", group).select("*", *_statistics())
+        text_counts(docs)
+        .withColumn("base_failed", base_failed())
+        .withColumns({"_group": group, "_lang": _wider("lang")})
+        .select("*", *_statistics())
     )
-    passed = F.count_if(~F.col("base_failed")).alias("n")
-    sizes = durable(table.groupBy("_group", _wider("lang").alias("_lang")).agg(passed))
+    sizes = durable(table.select("_group", "_lang").distinct())
     groups = sizes.count()
-    homes = durable(_homes(sizes))
-    vectors = table.where(~F.col("base_failed")).select("_group", *STATISTICS)
-    fitted = durable(_with(vectors, _members(homes), groups).drop("_group").withColumnRenamed("_fit", "_group"))
-    estimates = robust_estimates(fitted, groups).withColumnRenamed("_group", "_home")
-    estimates = durable(homes.select("_group", "_home").join(estimates, "_home").drop("_home"))
+    vectors = table.where(~F.col("base_failed")).select("_group", "_lang", *STATISTICS)
+    estimates = group_estimates(vectors, sizes, groups)
     if groups <= MAX_BROADCAST_GROUPS:
         judged = table.join(F.broadcast(estimates), "_group", "left")
     else:

@@ -280,6 +280,64 @@ def test_outliers_of_small_groups_and_of_any(spark):
     assert len(kept) >= 0.97 * len(good)
 
 
+def brute_estimate(x, starts=40):
+    """Centre and scatter of the smallest determinant, by exact steps of concentration from many random starts."""
+    own = np.random.default_rng(5)
+    best = None
+    for _ in range(starts):
+        held, before = own.choice(len(x), outliers.DIM + 4, replace=False), np.inf
+        while True:
+            centre = x[held].mean(0)
+            scatter = outliers._floored(np.cov(x[held].T, bias=True) * outliers.consistency())
+            det = np.linalg.slogdet(scatter)[1]
+            if det >= before - 1e-9 and len(held) > outliers.DIM + 4:
+                break
+            before = det if len(held) > outliers.DIM + 4 else np.inf
+            off = x - centre
+            distance = np.einsum("ij,jk,ik->i", off, np.linalg.inv(scatter), off)
+            held = np.argsort(distance, kind="stable")[: int(np.ceil(outliers.COVERAGE * len(x)))]
+        if best is None or det < best[0]:
+            best = det, centre, np.linalg.inv(scatter)
+    off = x - best[1]
+    return best[0], np.einsum("ij,jk,ik->i", off, best[2], off)
+
+
+def test_estimate_equals_brute_force(spark):
+    own = random.Random(8)
+    junk = lambda i: " ".join(f"{'long' * (i % 5)}w{own.randrange(300)}{'#*' * (i % 3)}" for _ in range(150))
+    rows = [(i, plain_text(i, 6 + i % 9), "en", "s") for i in range(340)] + [(400 + i, junk(i), "en", "s") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    judged = outliers.judge(frame).select("*", *outliers._statistics()).orderBy("doc_id").toPandas()
+    assert not judged["base_failed"].any()
+    x = judged[list(outliers.STATISTICS)].to_numpy(float) / outliers.UNIT
+    distance = brute_estimate(x)[1]
+    bound = outliers.chi_square(outliers.CERTAINTY, outliers.DIM)
+    clear = np.abs(np.log(distance / bound)) > 0.1
+    assert clear.mean() > 0.95 and 0.05 < (distance > bound).mean() < 0.3
+    assert (judged["kept"].to_numpy() == (distance <= bound))[clear].all()
+    assert np.median(np.abs(np.log(judged["distance"] / distance))) < 0.05
+    again = outliers.judge(frame.repartition(7)).orderBy("doc_id").toPandas()
+    assert (again["distance"] == judged["distance"]).all()
+
+
+def test_a_row_more_or_less_changes_a_verdict_little(spark):
+    schema = "doc_id bigint, text string, lang string, source string"
+    wide = [(i, plain_text(i), "en", "wide") for i in range(200)]
+    probe = (5000, plain_text(5000).replace("a", "a#"), "en", "small")
+    found = []
+    for size in (0, 29, 30):
+        small = [(1000 + i, plain_text(1000 + i), "en", "small") for i in range(size)]
+        judged = outliers.judge(spark.createDataFrame([*wide, *small, probe], schema))
+        found.append(judged.where("doc_id = 5000").collect()[0].distance)
+    assert max(found[1:]) / min(found[1:]) < 1.2 and None not in found
+
+
+def test_quartiles_are_exact(spark):
+    values = [7, 1, 1, 1, 9, 5, 5, 2]
+    frame = spark.createDataFrame([("g", *([v] * outliers.DIM)) for v in values], ["_group", *outliers.STATISTICS])
+    assert outliers._quartiles(frame).collect()[0].q == [[1, 2, 5]] * outliers.DIM
+
+
 def test_duplicate_lines_or_repeated_words_alone_reject(spark):
     schema = "doc_id bigint, text string, lang string, source string"
     good = [(i, plain_text(i), "en", "s") for i in range(200)]
