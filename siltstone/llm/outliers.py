@@ -4,18 +4,19 @@ Plain counts of a text give base rules and a vector of transformed statistics.
 Per language and source the minimum-covariance-determinant estimate of centre
 and scatter is approached by concentration steps from two starts: rows are
 ranked by their Mahalanobis distance, the nearest three quarters give the next
-estimate, until a step makes the determinant no smaller, and of the two estimates
-that of the smaller determinant counts.  A text whose squared distance exceeds a
+estimate, until a step makes the determinant no smaller, and the estimate of the
+smallest determinant counts.  A text whose squared distance exceeds a
 chi-square bound is rejected.
 
 Groups of any size are judged alike: the estimate of a group is drawn towards
 that of its language, and that of a language towards that of all rows, as if
 ``PRIOR_ROWS`` rows of the wider estimate were added to it.
 
-A step is one aggregate for all groups together: sums and products per group,
-start and bin of distance (bins of equal ratio, so their number does not grow with
-the rows), pre-aggregated before the shuffle, so a group that holds a third of
-all rows is no special case.  The bin in which the three quarters end counts by
+A step is one job for all groups together: sums and products per group, start
+and bin of distance (bins of equal ratio, so their number does not grow with the
+rows), pre-aggregated before the shuffle, so a group that holds a third of all
+rows is no special case; the bins of a group, some hundreds of rows, then give
+its next estimate.  The bin in which the three quarters end counts by
 the share of it that is needed.  Statistics are whole thousandths, so sums are
 exact and reruns agree.
 
@@ -28,6 +29,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -136,25 +138,25 @@ def _floored(scatter: np.ndarray) -> np.ndarray:
     return (directions * np.maximum(own, 1.0)) @ directions.T * unit
 
 
-def _estimate(sums: pd.DataFrame, scale: float) -> pd.DataFrame:
-    """Parameters from one row of sums per group and start."""
-    out = []
-    for row in sums.to_dict("records"):
-        n = float(row["n"])
-        centre = np.array([float(row[f"s{i}"]) for i in range(DIM)]) / n
-        scatter = np.empty((DIM, DIM))
-        for i, j in PAIRS:
-            scatter[i, j] = scatter[j, i] = float(row[f"p{i}_{j}"]) / n - centre[i] * centre[j]
-        scatter = _floored(scale * scatter / UNIT**2)
-        inverse, log_det = np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])
-        out.append((row["_group"], row["_start"], (centre / UNIT).tolist(), scatter.ravel().tolist(), inverse, log_det))
-    return pd.DataFrame(out, columns=["_group", "_start", "centre", "scatter", "inverse", "log_det"])
+def _estimate(sums: dict, scale: float) -> tuple:
+    """Centre, scatter, its inverse and the logarithm of its determinant, from sums over rows."""
+    n = float(sums["n"])
+    centre = np.array([float(sums[f"s{i}"]) for i in range(DIM)]) / n
+    scatter = np.empty((DIM, DIM))
+    for i, j in PAIRS:
+        scatter[i, j] = scatter[j, i] = float(sums[f"p{i}_{j}"]) / n - centre[i] * centre[j]
+    scatter = _floored(scale * scatter / UNIT**2)
+    inverse, log_det = np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])
+    return (centre / UNIT).tolist(), scatter.ravel().tolist(), inverse, log_det
 
 
-def _estimates(sums: DataFrame, scale: float) -> DataFrame:
+def _of_all_rows(sums: DataFrame) -> DataFrame:
+    """Parameters of start 1, from one row of sums per group."""
+
     def run(frames):
         for frame in frames:
-            yield _estimate(frame, scale)
+            rows = [(row["_group"], 1, *_estimate(row, 1.0)) for row in frame.to_dict("records")]
+            yield pd.DataFrame(rows, columns=["_group", "_start", "centre", "scatter", "inverse", "log_det"])
 
     return sums.mapInPandas(run, PARAMETERS)
 
@@ -213,47 +215,48 @@ def _middles(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(vectors: DataFrame, current: DataFrame, needed: DataFrame, groups: int) -> DataFrame:
-    """Sums over the nearest rows, ``needed(_group, _need)`` of them, per group and start."""
-    placed = _with(vectors, current.select("_group", "_start", "centre", "inverse"), groups).withColumn(
+def _step(vectors: DataFrame, current: DataFrame, groups: int, scale: float) -> DataFrame:
+    """The next estimate per group and start, from the nearest rows, and whether it is ``moving`` still."""
+    placed = _with(vectors, current.select("_group", "_start", "centre", "inverse", "log_det"), groups).withColumn(
         "_bin", F.round(F.log2(squared_distance() + 1e-6) * BINS_PER_DOUBLING).cast("int")
     )
-    binned = placed.groupBy("_group", "_start", "_bin").agg(*_sums())
-    upto = F.sum("n").over(Window.partitionBy("_group", "_start").orderBy("_bin"))
-    running = binned.withColumn("_to", upto).join(needed, "_group").where(F.col("_to") - F.col("n") < F.col("_need"))
-    # Of the last bin, one row, a share: whole bins add up exactly, in any order.
-    running = running.withColumn("_share", F.expr("least(1, (_need - _to + n) / n)"))
-    part = lambda c, which: f"coalesce(CAST(sum(CASE WHEN _share {which} THEN {c} END) AS double), 0D)"
-    sums = [F.expr(f"{part(c, '= 1')} + {part(f'{c} * _share', '< 1')} AS {c}") for c in NAMES]
-    return running.groupBy("_group", "_start").agg(*sums)
+    binned = placed.groupBy("_group", "_start", "_bin").agg(*_sums(), F.max("log_det").alias("_before"))
+    products = {f"p{i}_{j}": F.col(f"p{i}_{j}").cast("double") for i, j in PAIRS}
+
+    def nearest(bins: pd.DataFrame) -> pd.DataFrame:
+        # Bins are few, and always added in the same order.
+        bins = bins.sort_values("_bin")
+        n = bins["n"].to_numpy(float)
+        needed = COVERAGE * n.sum()
+        share = np.clip((needed - (np.cumsum(n) - n)) / n, 0.0, 1.0)
+        first = bins.iloc[0]
+        centre, scatter, inverse, log_det = _estimate((bins[NAMES].mul(share, axis=0)).sum().to_dict(), scale)
+        moving = log_det < float(first["_before"]) - SETTLED
+        row = (first["_group"], int(first["_start"]), centre, scatter, inverse, log_det, moving)
+        return pd.DataFrame([row], columns=["_group", "_start", "centre", "scatter", "inverse", "log_det", "moving"])
+
+    return binned.withColumns(products).groupBy("_group", "_start").applyInPandas(nearest, PARAMETERS + ", moving boolean")
 
 
 def robust_estimates(vectors: DataFrame, groups: int) -> DataFrame:
     """``_group, rows, centre, scatter`` of the rows ``vectors(_group, <STATISTICS>)``."""
     whole = durable(vectors.groupBy("_group").agg(*_sums()))
-    needed = whole.select("_group", (F.col("n") * COVERAGE).alias("_need"))
     # Starts: all rows, and the rows near the coordinate-wise medians.
-    starts = _estimates(whole.withColumn("_start", F.lit(1)), 1.0).unionByName(_middles(vectors))
-    none = F.lit(float("inf"))
-    state = durable(starts.withColumns({"log_det": none, "moving": F.lit(True)}))
+    starts = durable(_of_all_rows(whole).unionByName(_middles(vectors)).withColumn("log_det", F.lit(float("inf"))))
     scale = consistency()
+    steps, moving = [], starts
     while True:
-        moving = state.where("moving")
+        steps.append(durable(_step(vectors, moving, groups, scale)))
+        moving = steps[-1].where("moving")
         if moving.isEmpty():
             break
-        later = _estimates(_nearest(vectors, moving, needed, groups), scale).alias("l")
-        both = later.join(moving.drop("moving").alias("s"), ["_group", "_start"])
-        lower = F.col("l.log_det") < F.col("s.log_det") - SETTLED
-        picked = [F.when(lower, F.col(f"l.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in ("centre", "scatter", "inverse", "log_det")]
-        moved = both.select("_group", "_start", *picked, lower.alias("moving"))
-        following = durable(moved.unionByName(state.where("NOT moving")))
-        discard(state)
-        state = following
-    best = F.min_by(F.struct("centre", "scatter"), F.struct("log_det", "_start")).alias("best")
-    chosen = state.groupBy("_group").agg(best).select("_group", "best.centre", "best.scatter")
-    found = durable(chosen.join(whole.select("_group", F.col("n").alias("rows")), "_group"))
-    discard(state, whole)
-    return found
+    # The smallest determinant of all steps and both starts.
+    found = functools.reduce(DataFrame.unionByName, (s.withColumn("_at", F.lit(i)) for i, s in enumerate(steps)))
+    best = F.min_by(F.struct("centre", "scatter"), F.struct("log_det", "_start", "_at")).alias("best")
+    chosen = found.groupBy("_group").agg(best).select("_group", "best.centre", "best.scatter")
+    estimates = durable(chosen.join(whole.select("_group", F.col("n").alias("rows")), "_group"))
+    discard(starts, whole, *steps)
+    return estimates
 
 
 ALL = "all"  # the group of all rows
