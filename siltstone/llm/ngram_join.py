@@ -41,6 +41,9 @@ largest set stands for the document, and all get its component; a row without
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,6 +93,13 @@ def _digests(code: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
+def marks(code: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The bits of each of n sets: a token sets one, so a bit of one set alone is a token of it alone."""
+    out = np.zeros((n, WORDS), np.int64)
+    np.bitwise_or.at(out.reshape(-1), text * WORDS + (code >> 6) % WORDS, np.int64(1) << (code & 63))
+    return out
+
+
 def _arrow(docs: DataFrame, columns: str, work) -> DataFrame:
     """``work(ids, texts)`` over slices of ``docs(doc_id, text)`` that gives record batches of ``columns``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -102,61 +112,40 @@ def _arrow(docs: DataFrame, columns: str, work) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {columns}")
 
 
-def set_sizes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, n, counted, h1, h2, tag``: the size of each set, its counted tokens, its digest."""
+def counted_sets(docs: DataFrame, size: int = SHINGLE, similar=SIMILAR) -> DataFrame:
+    """``doc_id, n, counted, h1, h2, tag, tokens, extra``: the size of each set, its counted tokens, its digest.
+
+    ``extra`` are the first other tokens of a set with too few counted ones, null for all others.
+    """
 
     def work(ids, part):
         code, text, at = _sets(part, size)
         h1, h2 = _digests(code, text, len(part))
-        counted = np.bincount(text, code < _LIMIT, minlength=len(part)).astype(np.int64)
-        columns = [ids, *(pa.array(c) for c in (np.diff(at), counted, h1, h2, h1.astype(np.int16)))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "counted", "h1", "h2", "tag"])
-
-    return _arrow(docs, "n bigint, counted bigint, h1 bigint, h2 bigint, tag smallint", work)
-
-
-def counted_tokens(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, tag, token`` of all counted tokens."""
-
-    def work(ids, part):
-        code, text, _ = _sets(part, size)
-        tag = _digests(code, text, len(part))[0].astype(np.int16)
         own = code < _LIMIT
-        columns = [ids.take(pa.array(text[own])), pa.array(tag[text[own]]), pa.array(code[own])]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "token"])
-
-    return _arrow(docs, "tag smallint, token bigint", work)
-
-
-def extra_tokens(docs: DataFrame, size: int, similar) -> DataFrame:
-    """``doc_id, tag, extra``: the first other tokens of sets with too few counted ones."""
-
-    def work(ids, part):
-        code, text, at = _sets(part, size)
-        n = np.diff(at)
-        counted = np.bincount(text, code < _LIMIT, minlength=len(part)).astype(np.int64)
+        n, counted = np.diff(at), np.bincount(text, own, minlength=len(part)).astype(np.int64)
+        tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counted)).astype(np.int32)), pa.array(code[own]))
         wanted = np.minimum(n, prefix_length(n, similar) + classes(-(-n * similar[1] // similar[0]))) - counted
-        some = np.flatnonzero(wanted > 0)
-        if len(some):
-            tag = _digests(code, text, len(part))[0].astype(np.int16)
-            # Tokens ascend within a text, so the others follow the counted ones.
-            lists = [code[at[i] + counted[i] : at[i] + counted[i] + wanted[i]] for i in some]
-            columns = [ids.take(pa.array(some)), pa.array(tag[some]), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "extra"])
+        # Tokens ascend within a text, so the others follow the counted ones.
+        others = [code[i : i + w] if w > 0 else None for i, w in zip(at[:-1] + counted, wanted, strict=True)]
+        columns = [ids, *(pa.array(c) for c in (n, counted, h1, h2, h1.astype(np.int16))), tokens, pa.array(others, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "counted", "h1", "h2", "tag", "tokens", "extra"])
 
-    return _arrow(docs, "tag smallint, extra array<bigint>", work)
+    columns = "n bigint, counted bigint, h1 bigint, h2 bigint, tag smallint, tokens array<bigint>, extra array<bigint>"
+    return _arrow(docs, columns, work)
 
 
 def token_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, tag, tokens``: whole sets."""
+    """``doc_id, tag, tokens, marks``: whole sets, and the bits of each."""
 
     def work(ids, part):
         code, text, at = _sets(part, size)
         tag = _digests(code, text, len(part))[0].astype(np.int16)
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(code))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(tag), lists], ["doc_id", "tag", "tokens"])
+        bits = marks(code, text, len(part))
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, WORDS, dtype=np.int32)), pa.array(bits.ravel()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(tag), lists, bits], ["doc_id", "tag", "tokens", "marks"])
 
-    return _arrow(docs, "tag smallint, tokens array<bigint>", work)
+    return _arrow(docs, "tag smallint, tokens array<bigint>, marks array<bigint>", work)
 
 
 def _pairs_within(token: np.ndarray, m: int) -> np.ndarray:
@@ -235,36 +224,30 @@ def own_tokens(sets: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("alone"))
 
 
-def marks(tokens):
-    """The bits of a set: each token sets one, so a bit of one set alone is a token of it alone."""
-    word = lambda t: F.call_function("shiftrightunsigned", t, F.lit(6)).bitwiseAND(F.lit(WORDS - 1))
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
-    one = lambda w: F.aggregate(F.filter(tokens, lambda t: word(t) == w), F.lit(0).cast("bigint"), lambda s, t: s.bitwiseOR(bit(t)))
-    return F.transform(F.array(*(F.lit(w).cast("bigint") for w in range(WORDS))), one)
-
-
-def _alone(a, b):
-    """Tokens that a set has and another has not, at least, by their marks."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
+def _common_bits(a: str, b: str):
+    """How many bits two sets both have, whose marks are the columns ``a0, a1, ...`` and ``b0, b1, ...``."""
+    return functools.reduce(operator.add, (F.bit_count(F.col(f"{a}{w}").bitwiseAND(F.col(f"{b}{w}"))) for w in range(WORDS)))
 
 
 def _within(overlap, total, similar):
     """Whether sets of ``total`` tokens together can be similar with at most this overlap."""
-    return similar[1] * overlap >= similar[0] * (total - overlap)
+    return (similar[0] + similar[1]) * overlap >= similar[0] * total
 
 
 def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame:
-    """``node, root`` of the nodes with links, from index entries ``live(sig, node, n, common, few, marks)``.
+    """``node, root`` of the nodes with links, from index entries ``live(sig, node, n, common, few, rest, m0, m1, ...)``.
 
     ``common`` is the number of tokens that some other of the ``sets`` holds,
-    ``few`` the smallest signatures of all entries of the node, ``marks`` the bits of its set.
+    ``few`` the smallest signatures of all entries of the node, ``m0`` and so on the
+    bits of its set and ``rest`` its tokens beyond one for each bit.
     """
+    carried = ["n", "common", "few", "rest", *(f"m{w}" for w in range(WORDS))]
     kind = live.schema["node"].dataType
     roots = live.sparkSession.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
     failed, number, before = None, 1, None
     while True:
         rows = live.join(roots, "node", "left").select(
-            "sig", "node", "n", "common", "few", "marks", F.coalesce("root", "node").alias("root")
+            "sig", "node", *carried, F.coalesce("root", "node").alias("root")
         )
         ends = rows.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("n").alias("_least"))
         rows = rows.join(ends.where("_lo <> _hi").select("sig", "_least"), "sig")
@@ -282,12 +265,12 @@ def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame
         pivots = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= number)
         pivots = pivots.select(
             "sig", F.col("node").alias("_pivot"), F.col("n").alias("_pn"), F.col("common").alias("_pc"), F.col("root").alias("_proot"),
-            F.col("few").alias("_pfew"), F.col("marks").alias("_pmarks"),
+            F.col("few").alias("_pfew"), F.col("rest").alias("_prest"), *(F.col(f"m{w}").alias(f"_p{w}") for w in range(WORDS)),
         )
         near = _within(F.least("common", "_pc"), F.col("n") + F.col("_pn"), similar) & (F.col("root") != F.col("_proot"))
+        # Bits of one set alone are tokens of it alone.
+        near &= _within(F.least("rest", "_prest") + _common_bits("m", "_p"), F.col("n") + F.col("_pn"), similar)
         near &= ~F.coalesce(F.array_min(F.array_intersect("few", "_pfew")) < F.col("sig"), F.lit(False))
-        most = F.least(F.col("n") - _alone(F.col("marks"), F.col("_pmarks")), F.col("_pn") - _alone(F.col("_pmarks"), F.col("marks")))
-        near &= _within(most, F.col("n") + F.col("_pn"), similar)
         pairs = rows.join(pivots, "sig").where(near).select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b"))
         pairs = pairs.distinct()
         if failed is not None:
@@ -308,7 +291,7 @@ def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame
             later = durable(kept.unionByName(fresh))
             discard(roots, merged)
             roots = later
-        live = rows.select("sig", "node", "n", "common", "few", "marks").join(
+        live = rows.select("sig", "node", *carried).join(
             pivots.select("sig", F.col("_pivot").alias("node")), ["sig", "node"], "left_anti"
         )
         number *= PIVOT_GROWTH
@@ -316,7 +299,7 @@ def link_classes(live: DataFrame, sets: DataFrame, similar=SIMILAR) -> DataFrame
 
 def similar_components(docs: DataFrame, size: int = SHINGLE, similar=SIMILAR) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs(doc_id, text)``."""
-    sizes = durable(set_sizes(docs, size))
+    sizes = durable(counted_sets(docs, size, similar))
     filled = sizes.where("n > 0 AND doc_id IS NOT NULL")
     # The row that stands for a document, then one document for each set.
     best = F.max(F.struct("n", "h1", "h2", "tag", "counted")).alias("best")
@@ -328,10 +311,10 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similar=SIMILAR) ->
     least = next(k for k in range(1, 10_000) if similar[1] * k >= similar[0] * (k + 1))
     open_sets = sets.where(F.col("n") >= least)
 
-    tokens = counted_tokens(docs, size)
+    tokens = sizes.select("doc_id", "tag", F.explode("tokens").alias("token"))
     held = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
     shared = tokens.join(held, "token").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("held", "token")).alias("shared"))
-    extra = extra_tokens(docs, size, similar)
+    extra = sizes.where("extra IS NOT NULL").select("doc_id", "tag", "extra")
     given = open_sets.join(
         shared.withColumnRenamed("doc_id", "node"), ["node", "tag"], "left"
     ).join(extra.withColumnRenamed("doc_id", "node").dropDuplicates(["node", "tag"]), ["node", "tag"], "left")
@@ -348,11 +331,15 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, similar=SIMILAR) ->
     wanted = live.select("node").distinct().join(open_sets, "node").select(F.col("node").alias("doc_id"), "tag", "n")
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     whole = token_sets(texts, size).join(wanted, ["doc_id", "tag"]).where(F.size("tokens") == F.col("n"))
-    whole = durable(whole.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "tokens"))
+    whole = durable(whole.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "tokens", "marks"))
     common = F.col("n") - F.coalesce("alone", F.lit(0))
     few = live.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, SMALLEST).alias("few"))  # a set's entries at most
     entries = live.join(own_tokens(whole), "node", "left").join(few, "node")
-    entries = entries.join(whole.select("node", marks(F.col("tokens")).alias("marks")), "node").select("sig", "node", "n", common.alias("common"), "few", "marks")
+    bits = whole.select(
+        "node", *(F.col("marks")[w].alias(f"m{w}") for w in range(WORDS)),
+        functools.reduce(operator.add, (F.bit_count(F.col("marks")[w]) for w in range(WORDS))).alias("_bits"),
+    )
+    entries = entries.join(bits, "node").withColumns({"common": common, "rest": F.col("n") - F.col("_bits")}).drop("alone", "_bits")
     roots = link_classes(entries, whole, similar)
     discard(live, whole)
 
