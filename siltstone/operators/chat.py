@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.questions import wants_debugging
 from siltstone.operators.ordering import with_position
 from siltstone.operators.vectors import nearest
+from siltstone.session import durable
 
 # Size of the window, hits from memory and from code, and the
 # confidence below which code is searched.
@@ -95,9 +96,14 @@ def last_exchanges(conversations: DataFrame, size: int = WINDOW) -> DataFrame:
     )
 
 
-def memory_confidence(queries: DataFrame, memory: DataFrame, k: int = MEMORY_HITS) -> DataFrame:
-    """Hits in memory per query and 1 - best distance; 0 when memory is empty."""
-    hits = nearest(queries, memory, k)
+def memory_confidence(
+    queries: DataFrame, memory: DataFrame, k: int = MEMORY_HITS, *, vectors: DataFrame | None = None
+) -> DataFrame:
+    """Hits in memory per query and 1 - best distance; 0 when memory is empty.
+
+    ``vectors`` holds the vectors of sides that have their ids, as in ``nearest``.
+    """
+    hits = nearest(queries, memory, k, vectors=vectors)
     best = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("distance").alias("best"))
     return (
         queries.select("query_id")
@@ -111,11 +117,18 @@ def memory_confidence(queries: DataFrame, memory: DataFrame, k: int = MEMORY_HIT
 
 
 def gated_code_hits(
-    queries: DataFrame, confidences: DataFrame, code: DataFrame, k: int = CODE_HITS, threshold: float = CONFIDENCE
+    queries: DataFrame,
+    confidences: DataFrame,
+    code: DataFrame,
+    k: int = CODE_HITS,
+    threshold: float = CONFIDENCE,
+    *,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Code hits for the queries that memory answers too poorly, none for others."""
-    unsure = queries.join(confidences.where(F.col("confidence") < threshold), "query_id", "left_semi")
-    return nearest(unsure, code, k)
+    # Written, as a search reads its queries more than once and they stand behind another search.
+    unsure = durable(queries.join(confidences.where(F.col("confidence") < threshold), "query_id", "left_semi"))
+    return nearest(unsure, code, k, vectors=vectors)
 
 
 def context_text(queries: DataFrame, hits: DataFrame, default: str = NO_CONTEXT) -> DataFrame:

@@ -163,3 +163,27 @@ def test_many_equal_vectors(spark):
     asked = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
     found = nearest(asked, corpus, 3).groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
     assert len(found) == 300 and all(r.ids == [0, 1, 2] for r in found)
+
+
+def test_rows_that_share_vectors_are_compared_once(spark, monkeypatch):
+    """Each vector meets a query once, however many rows hold it, with the hits of all rows."""
+    held = spark.createDataFrame([(v, [float(v), 0.0]) for v in range(4)] + [(4, None)], "vec_id bigint, vector array<float>")
+    rows = spark.range(400).selectExpr("id", "id % 5 AS vec_id", "if(id % 2 = 0, 'a', 'b') AS scope")
+    asked = spark.range(30).selectExpr("id AS query_id", "id % 6 AS vec_id")
+    plain = vectors.nearest(asked.join(held, "vec_id"), rows.drop("scope").join(held, "vec_id"), 3).collect()
+    seen = []
+    kept = vectors._searched
+    monkeypatch.setattr(vectors, "_searched", lambda q, c, *rest: seen.append((q.count(), c.count())) or kept(q, c, *rest))
+    for shipped in (100, 2):
+        shared = vectors.nearest(asked, rows.drop("scope"), 3, vectors=held, shipped_queries=shipped).collect()
+        assert sorted(shared) == sorted(plain)
+    assert seen == [(4, 4), (4, 4)]
+    scoped = asked.withColumn("scope", F.lit("b"))
+    plain = vectors.nearest(scoped.join(held, "vec_id"), rows.join(held, "vec_id"), 3).collect()
+    assert sorted(vectors.nearest(scoped, rows, 3, vectors=held).collect()) == sorted(plain)
+
+
+def test_cosine_finds_the_nearest_beside_a_row_of_length_zero(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vector array<double>")
+    corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 2.0])], "id bigint, vector array<double>")
+    assert [h["id"] for h in vectors.nearest(queries, corpus, 1, metric="cosine").collect()] == [2]
