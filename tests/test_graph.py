@@ -145,3 +145,12 @@ def test_annotation_and_display(spark, functions):
     impact = {r.id: r for r in direct_impact(graph, issues, asked).collect()}
     assert tuple(impact["p/a.py"])[1:] == (0, 1, 31, 30, 4.1, None)
     assert impact["none"].error and impact["none"].successors is None
+
+
+def test_a_written_graph_reads_its_calls_from_files(spark, functions):
+    rows = functions((1, "a.py", None, "f", "x", ["g", "f"], ["import b"]), (2, "b.py", "C", "g", "x", ["f"], []))
+    plain, written = build_graph(rows), build_graph(rows, write=True)
+    for part in ("references", "local_calls", "static_edges"):
+        assert getattr(written, part).inputFiles()
+        assert sorted(getattr(written, part).collect()) == sorted(getattr(plain, part).collect())
+    assert written.edge_count().first() == plain.edge_count().first()
