@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.session import durable
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in its low bits
+SORTED_ROWS = 1_000_000  # about so many rows are sorted by one task, whatever the size of the table
 
 
 def with_position(df: DataFrame, *order: str, name: str = "position", first: int = 0) -> DataFrame:
@@ -16,10 +17,15 @@ def with_position(df: DataFrame, *order: str, name: str = "position", first: int
     The rows are range partitioned and sorted once and written to the
     checkpoint folder, so that both uses see the same partitions even after an
     executor is lost.  Only the row count per partition meets in one task.
-    Finding the ranges reads ``df`` once more beforehand: pass a written table
-    where its rows are costly to make.
+    Counting the rows and finding the ranges read ``df`` beforehand: pass a
+    written table where its rows are costly to make, and no column that is not
+    wanted, as all of them are sorted.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = df.count() // SORTED_ROWS
+    # Without a number, adaptive execution joins small partitions; with one, large tables get more.
+    ranged = df.repartitionByRange(large, *order) if large > partitions else df.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     slotted = durable(ordered.withColumn("_slot", F.monotonically_increasing_id()))
     slotted = slotted.withColumn("_part", F.shiftright("_slot", _ROW_BITS))
     sizes = slotted.groupBy("_part").agg(F.count("*").alias("_rows"))

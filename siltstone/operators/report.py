@@ -72,7 +72,8 @@ def _place() -> Column:
 def report_sections(issues: DataFrame) -> DataFrame:
     """(number, text): the header as number 0, then one section per issue."""
     kept = report_issues(issues)
-    rows = with_priority(numbered(kept))
+    shown = ("file", "lines", "severity", "category", "issue", "explanation", "suggestion")
+    rows = with_priority(numbered(kept.select(*ISSUE_ORDER, *shown)))
     section = F.concat(
         F.lit("### Issue "),
         F.col("number").cast("string"),
@@ -122,7 +123,8 @@ def batch_prompts(issues: DataFrame, functions: DataFrame, size: int = BATCH) ->
 
     An issue covers the lines of its function, so the code comes from there.
     """
-    rows = with_batch(numbered(report_issues(issues)), size)
+    shown = ("file", "lines", "severity", "category", "issue")
+    rows = with_batch(numbered(report_issues(issues).select(*ISSUE_ORDER, *shown)), size)
     coded = rows.join(functions.select("func_id", "code"), "func_id", "left")
     within = ((F.col("number") - 1) % size + 1).cast("string")
     block = F.concat(

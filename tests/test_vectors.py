@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import answers, vectors
+from siltstone.operators import answers, ordering, vectors
 from siltstone.operators.ordering import with_position
 from siltstone.operators.vectors import nearest, nearest_batch, where_equal
 from siltstone.sources.tables import Collections
@@ -187,3 +187,14 @@ def test_cosine_finds_the_nearest_beside_a_row_of_length_zero(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, vector array<double>")
     corpus = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 2.0])], "id bigint, vector array<double>")
     assert [h["id"] for h in vectors.nearest(queries, corpus, 1, metric="cosine").collect()] == [2]
+
+
+def test_large_tables_are_numbered_in_more_parts(spark, monkeypatch):
+    """What one task sorts does not grow with the table."""
+    parts = []
+    kept = ordering.durable
+    monkeypatch.setattr(ordering, "durable", lambda df: parts.append(df.rdd.getNumPartitions()) or kept(df))
+    monkeypatch.setattr(ordering, "SORTED_ROWS", 50)
+    rows = with_position(spark.range(2000), "id", name="n")
+    assert rows.where("n <> id").isEmpty()
+    assert parts == [40]
