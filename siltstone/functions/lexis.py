@@ -8,6 +8,9 @@ so the effect of two lines is ``translate(first, "01234", second)``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +70,13 @@ def plain(text: Column) -> Column:
     return F.translate(text, _MARK + _CLOSED, "  ")
 
 
+def stays_in_code(content: Column, language: Column) -> Column:
+    """Whether a text holds nothing that could leave a string or comment open over lines: all its lines begin in code."""
+    signs = {name: [sign for sign in opens if len(sign) > 1 or sign == "`"] for name, opens in OPENERS.items()}
+    signs = {name: [*found, "\\"] if len(OPENERS[name]) > 2 else found for name, found in signs.items()}
+    return by_language(language, lambda name: ~reduce(or_, (content.contains(sign) for sign in signs[name])))
+
+
 def moves(text: Column) -> Column:
     """Whether a line can change a state at all; a line behind a backslash does so too."""
     return text.rlike(r"[\"\x27`\\]|/\*|\*/")

@@ -380,20 +380,30 @@ def _calls(functions: DataFrame, callees: DataFrame) -> DataFrame:
     return inside.groupBy("path", F.col("_f.pos").alias("pos")).agg(F.sort_array(F.collect_set("callee")).alias("calls"))
 
 
-def _read(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lines and tokens, written once, and the paths of files that are not of their language."""
+def _read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines, written once, and the paths of files that are not of their language."""
     lines = durable(source_lines(files))
-    tokens = durable(source_tokens(lines))
-    return lines, tokens, _not_readable(files, lines, tokens)
+    return lines, _not_readable(files, lines)
 
 
-def _not_readable(files: DataFrame, lines: DataFrame, tokens: DataFrame) -> DataFrame:
+def _not_readable(files: DataFrame, lines: DataFrame) -> DataFrame:
     """``path``: brackets that do not match, strings or comments that do not end, or a sign U+0000."""
     last = lines.groupBy("path").agg(F.max_by(F.struct("text", "state", "language"), "line").alias("_l"))
     end = F.substring(lexis.then(F.col("_l.state"), lexis.effect(F.col("_l.text"), F.col("_l.language"), F.lit(True))), 1, 1)
     open_ = last.where(end != CODE).select("path")
     zero = files.where(F.col("language").isin(*OPENERS) & F.col("content").contains("\0")).select("path")
-    return unmatched(tokens).unionByName(open_).unionByName(zero).distinct()
+    return unmatched(lines).unionByName(open_).unionByName(zero).distinct()
+
+
+def _copies(files: DataFrame) -> DataFrame:
+    """``path, read_at``: files whose text, in the same language, is read at another path; paths that repeat are none."""
+    texts = files.where("path IS NOT NULL").select("path", "language", F.sha2("content", 256).alias("_text"))
+    single = texts.groupBy("path").agg(F.count("*").alias("_n"), F.min("language").alias("language"), F.min("_text").alias("_text"))
+    single = durable(single.where("_n = 1 AND _text IS NOT NULL").drop("_n"))
+    alike = single.groupBy("language", "_text").agg(F.min("path").alias("read_at"), F.count("*").alias("_n")).where("_n > 1")
+    found = durable(single.join(alike, ["language", "_text"]).where("path <> read_at").select("path", "read_at"))
+    discard(single)
+    return found
 
 
 def locate_functions(files: DataFrame, *, compat: bool = False) -> DataFrame:
@@ -404,9 +414,10 @@ def locate_functions(files: DataFrame, *, compat: bool = False) -> DataFrame:
     Java only.  A null path or content has no functions; of files that repeat a
     path each must be given apart.
     """
-    lines, tokens, bad = _read(files)
+    lines, bad = _read(files)
     bad = durable(bad)
-    lines_, tokens_ = (frame.join(bad, "path", "left_anti") for frame in (lines, tokens))
+    lines_ = lines.join(bad, "path", "left_anti")
+    tokens = tokens_ = durable(source_tokens(lines_))
     braced, bodies = _bracketed(tokens_, compat)
     statements = durable(_statements(lines_))
     blocks = durable(_blocks(statements))
@@ -433,13 +444,17 @@ def extract_functions(files: DataFrame, *, compat: bool = False, outliners: dict
     """FUNCTIONS from FILES, whose paths differ.
 
     ``outliners`` adds languages: by name, a function from a text to rows of
-    FOUND, which takes the place of the built-in rules.
+    FOUND, which takes the place of the built-in rules.  Of files with equal
+    text one is read for all.
     """
     outliners = outliners or {}
-    found = locate_functions(files.where(~F.col("language").isin(*outliners)) if outliners else files, compat=compat)
+    known = files.where(~F.col("language").isin(*outliners)) if outliners else files
+    copies = _copies(known.where(F.col("language").isin(*OPENERS)))
+    found = locate_functions(known.join(copies, "path", "left_anti"), compat=compat)
     columns = F.struct(*FOUND)
     each = found.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", columns.alias("f")))), lambda x: x["f"]).alias("found"))
-    located = files.select("path", "content").join(each, "path")
+    of_copies = copies.join(each.withColumnRenamed("path", "read_at"), "read_at").select("path", "found")
+    located = files.select("path", "content").join(each.unionByName(of_copies), "path")
     if outliners:
 
         @F.pandas_udf(_FOUND)
@@ -478,7 +493,7 @@ def extract_functions(files: DataFrame, *, compat: bool = False, outliners: dict
 
 def unread_files(files: DataFrame) -> DataFrame:
     """Files (``path, language``) that give no functions because they are not of their language."""
-    lines, tokens, bad = _read(files)
+    lines, bad = _read(files)
     kept = durable(files.select("path", "language").join(bad, "path", "left_semi"))
-    discard(lines, tokens)
+    discard(lines)
     return kept

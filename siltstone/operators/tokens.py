@@ -48,10 +48,22 @@ def source_lines(files: DataFrame) -> DataFrame:
 
     ``state`` is the lexical state before the line, ``code`` the line without
     comments and insides of strings.  Languages without rules have no lines.
+    Files that can leave nothing open need no states, so they are not shuffled.
     """
     known = files.where(F.col("language").isin(*lexis.OPENERS) & F.col("content").isNotNull() & F.col("path").isNotNull())
-    each = known.select("path", "language", F.posexplode(F.split("content", "\n", -1)).alias("_at", "text"))
-    lines = each.select("path", "language", (F.col("_at") + 1).alias("line"), lexis.plain(F.col("text")).alias("text"))
+    quiet = lexis.stays_in_code(F.col("content"), F.col("language"))
+    code = F.lit(lexis.CODE)
+    return _each_line(known.where(quiet)).select(
+        "path", "language", "line", "text", code.alias("state"), lexis.code_of(F.col("text"), code, F.col("language")).alias("code")
+    ).unionByName(_with_states(_each_line(known.where(~quiet))))
+
+
+def _each_line(files: DataFrame) -> DataFrame:
+    each = files.select("path", "language", F.posexplode(F.split("content", "\n", -1)).alias("_at", "text"))
+    return each.select("path", "language", (F.col("_at") + 1).alias("line"), lexis.plain(F.col("text")).alias("text"))
+
+
+def _with_states(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("line")
     lines = lines.withColumn("_behind", F.coalesce(F.lag(F.col("text").endswith("\\")).over(order), F.lit(False)))
     may_move = F.col("_behind") | lexis.moves(F.col("text"))
@@ -106,8 +118,21 @@ def source_tokens(lines: DataFrame) -> DataFrame:
     )
 
 
-def unmatched(tokens: DataFrame) -> DataFrame:
-    """``path`` of the files whose brackets do not match, once each or more often."""
-    partner = F.create_map(*(F.lit(c) for pair in zip(OPENING + CLOSING, CLOSING + OPENING) for c in pair))
-    wrong = F.col("pair_tok").isNull() | (F.col("pair_tok") != partner[F.col("tok")]) | (F.col("level") < 1)
-    return tokens.where(F.col("tok").isin(*OPENING, *CLOSING) & wrong).select("path")
+def unmatched(lines: DataFrame) -> DataFrame:
+    """``path`` of the files whose brackets do not match, from the brackets of their lines alone.
+
+    The brackets of a file are one text, read with a stack of those that are
+    still to come; what cannot match stays on it.  Where a path repeats, lines
+    do too, and their brackets match nothing.
+    """
+    found = lines.select("path", "line", F.regexp_replace("code", r"[^()\[\]{}]+", "").alias("_b")).where("_b <> ''")
+    listed = found.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "_b"))).alias("_l"))
+    signs = F.split(F.array_join(F.transform("_l", lambda x: x["_b"]), ""), "")
+
+    def read(stack: Column, sign: Column) -> Column:
+        wanted = F.translate(sign, "".join(OPENING), "".join(CLOSING))
+        shut = F.substr(stack, F.lit(1), F.length(stack) - 1)
+        return F.when(sign == "", stack).when(wanted != sign, F.concat(stack, wanted)).when(stack.endswith(sign), shut).otherwise(F.concat(stack, F.lit("!")))
+
+    repeated = F.size(F.array_distinct(F.transform("_l", lambda x: x["line"]))) < F.size("_l")
+    return listed.where(repeated | (F.aggregate(signs, F.lit(""), read) != "")).select("path")

@@ -1,5 +1,6 @@
 import pytest
 
+from siltstone.operators import extract
 from siltstone.operators.extract import extract_functions, locate_functions, unread_files
 from siltstone.schemas import FILES, FUNCTIONS
 
@@ -102,3 +103,22 @@ def test_long_branch_chain(spark):
 def test_unread_files_are_counted(spark):
     rows = [(p, LANGUAGE[p.rsplit(".")[-1]], text) for p, text in SOURCES.items()]
     assert {r.path for r in unread_files(spark.createDataFrame(rows, FILES)).collect()} == {"broken.py", "null.py"}
+
+
+def test_files_with_equal_text_are_read_once(spark, monkeypatch):
+    text = "class A:\n    def f(self, a):\n        g(\"(\")\n"
+    rows = [(f"a{i}.py", "python", text) for i in range(5)] + [("b.py", "python", "def h(): pass"), ("x.js", "javascript", text), ("bad.py", "python", "def f(:\n  )]")]
+    files = spark.createDataFrame(rows, FILES)
+    read = []
+    kept = extract.locate_functions
+    monkeypatch.setattr(extract, "locate_functions", lambda f, **more: read.append(f.count()) or kept(f, **more))
+    found = {(r.file, r.class_name, r.function, r.code) for r in extract_functions(files).collect()}
+    body = text.split("\n", 1)[1].rstrip("\n")
+    assert found == {(f"a{i}.py", "A", "f", body) for i in range(5)} | {("b.py", None, "h", "def h(): pass")}
+    assert read == [4]
+
+
+def test_unread_files_by_brackets_and_open_strings(spark):
+    texts = {"ok": "f(a[{1: '('}])", "shut": ")(", "cross": "(a[b)]", "left": "(\n(\n)", "open": "x = '''\n", "none": "x = 1", "lines": "f(\n[\n]\n)"}
+    files = spark.createDataFrame([(n, "python", t) for n, t in texts.items()], FILES)
+    assert {r.path for r in extract.unread_files(files).collect()} == {"shut", "cross", "left", "open"}
