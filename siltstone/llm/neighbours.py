@@ -8,13 +8,16 @@ from windows of rows in the order of random hyperplane codes.  Each round of
 NN-descent joins every node with its neighbours and a sample of those that have
 it as a neighbour: these meet each other, and pairs that improve a list are
 merged.  Nodes are dealt into blocks of neighbouring codes; a block receives
-each vector that its nodes refer to once, as bytes.  Queries, which are rows of
+each vector that its nodes refer to once, as bytes, in one row from each block
+that holds some of them: at most ``LIST + REVERSE`` vectors for each of its
+nodes, however many nodes there are.  Queries, which are rows of
 the table, then search the graph greedily from their own list and from the
 longest vectors: the best unexpanded nodes of the pool are expanded, their neighbours scored, and the best
 kept.  The pool is scored at last in double precision on the original vectors.
 
 Bounded by parameters: lists (``LIST``), sampled reverse neighbours
-(``REVERSE``), nodes of a block (``BLOCK``), the pool of a query (``POOL``).  Rounds
+(``REVERSE``), nodes of a block (``BLOCK``), blocks that one group sends vectors to
+(``ANSWERED``), the pool of a query (``POOL``).  Rounds
 go on until lists have settled, and each search until all of its pool is
 expanded.  A node that very many
 nodes refer to is sampled before the shuffle; copies of a vector beyond the
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.operators.ordering import with_position
 from siltstone.session import discard, durable
@@ -42,6 +46,7 @@ TABLES = 4
 BITS = 24
 WINDOW = 512
 BLOCK = 1024
+ANSWERED = 64
 ENOUGH = 0.01  # share of list entries; rounds go on until one changes fewer
 FAR = 200  # rounds beyond which something is wrong; an error, never a result
 EMIT = 16  # improvements of a node that one block passes on
@@ -50,8 +55,12 @@ EXPANDED = 8
 ENTRIES = 32  # longest vectors that every search begins from, too
 SEED = 11
 GRAPH = "pos bigint, ids array<bigint>, sims array<float>"
+ROUND = GRAPH + ", fresh bigint"  # entries that the round has brought
+POOLS = GRAPH + ", done array<bigint>"  # entries that are expanded
 # What one block passes on to another, packed: for each entry its node, the neighbour, the likeness.
 MESSAGE = "to_block int, pos array<bigint>, ids array<bigint>, sims array<float>"
+# Vectors of block ``at`` that block ``for_block`` wants; ``part`` deals the blocks that ask.
+REQUEST = "at int, part int, for_block int, wanted array<bigint>"
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind) -> pa.Array:
@@ -212,14 +221,70 @@ def _merged(lists: DataFrame) -> DataFrame:
     return durable(grouped.mapInArrow(run, GRAPH))
 
 
+def _block(pos: str = "pos"):
+    return F.floor(F.col(pos) / BLOCK).cast("int")
+
+
+def _requests(parts: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """What one block wants of each block."""
+        wanted = np.unique(_flat(rows.column("near"))[0])
+        at, counts = np.unique(wanted // BLOCK, return_counts=True)  # ascending, so blocks are runs
+        asker = np.full(len(at), key[0].as_py(), np.int32)
+        columns = [pa.array(at.astype(np.int32)), pa.array(asker % parts, pa.int32()), pa.array(asker), _lists(wanted, counts, pa.int64())]
+        return pa.Table.from_arrays(columns, ["at", "part", "for_block", "wanted"])
+
+    return run
+
+
+def _answers(names: list[str]):
+    def run(known: pa.Table, requests: pa.Table) -> pa.Table:
+        """The rows of one block that others want, packed for each of them."""
+        pos = known.column("pos").to_numpy()
+        order = np.argsort(pos)
+        wanted, row = _flat(requests.column("wanted"))
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(requests)))].astype(np.int32))
+        sent = known.take(pa.array(order[np.searchsorted(pos[order], wanted)])).combine_chunks()
+        columns = [pa.ListArray.from_arrays(offsets, _whole(sent.column(name))) for name in names]
+        return pa.Table.from_arrays([_whole(requests.column("for_block")), *columns], ["to_block", *names])
+
+    return run
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks or [pa.array([], whole.type)])
+
+
+def delivered(asked: DataFrame, known: DataFrame, count: int) -> DataFrame:
+    """Rows of ``known`` for each block that refers to them in ``asked(block, near)``, each once.
+
+    ``to_block`` and every column of ``known(pos, ...)`` as an array, a row for
+    each pair of blocks.  A group sends to at most ``ANSWERED`` blocks, so that nodes
+    that all blocks want are no large group; ``count`` is the number of nodes.
+    """
+    parts = max(-(-count // (BLOCK * ANSWERED)), 1)
+    requests = asked.groupBy("block").applyInArrow(_requests(parts), REQUEST)
+    dealt = known.withColumn("_at", _block()).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    packed = T.StructType([T.StructField("to_block", T.IntegerType())])
+    for field in known.schema.fields:
+        packed.add(field.name, T.ArrayType(field.dataType))
+    return dealt.groupBy("_at", "_part").cogroup(requests.groupBy("at", "part")).applyInArrow(_answers(known.columns), packed)
+
+
+def _received(answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending positions that a block has received, their vectors, and the place of each in the answers."""
+    known = _flat(answers.column("pos"))[0]
+    order = np.argsort(known)
+    x = _vectors(_whole(answers.column("bytes")).flatten(), _whole(answers.column("scale")).flatten())
+    return known[order], x[order], order
+
+
 def _meetings(edges: pa.Table, vectors: pa.Table) -> pa.Table:
     """Improvements found in one block: all neighbours of a node meet each other."""
-    known = vectors.column("pos").to_numpy()
-    order = np.argsort(known)
-    known = known[order]
-    x = _vectors(vectors.column("bytes"), vectors.column("scale"))[order]
-    short, half = (vectors.column(c).to_numpy()[order] for c in ("short", "half"))
-    bound = vectors.column("least").to_numpy()[order].astype(np.float32)
+    known, x, order = _received(vectors)
+    short, half = (_flat(vectors.column(c))[0][order] for c in ("short", "half"))
+    bound = _flat(vectors.column("least"))[0][order].astype(np.float32)
     ids, row = _flat(edges.column("near"))
     counts = np.bincount(row, minlength=len(edges))
     width = int(counts.max(initial=0))
@@ -253,7 +318,10 @@ def _improved(lists: pa.Table, messages: pa.Table) -> pa.Table:
     sims, _ = _flat(lists.column("sims"))
     of, more, likeness = (_flat(messages.column(c))[0] for c in ("pos", "ids", "sims"))
     merged = top(np.concatenate([pos[row], of]), np.concatenate([ids, more]), np.concatenate([sims, likeness]), LIST)
-    return pa.Table.from_batches([_graph_batch(*merged)])
+    base = pos[:1] // BLOCK * BLOCK
+    new = ~np.isin((merged[0] - base << 52) + merged[1], (pos[row] - base << 52) + ids)  # a block has 2^10 nodes
+    fresh = np.bincount(np.unique(merged[0], return_inverse=True)[1], new).astype(np.int64)
+    return pa.Table.from_batches([_graph_batch(*merged)]).append_column("fresh", pa.array(fresh))
 
 
 def improve(nodes: Nodes, graph: DataFrame, number: int) -> tuple[DataFrame, float]:
@@ -263,18 +331,15 @@ def improve(nodes: Nodes, graph: DataFrame, number: int) -> tuple[DataFrame, flo
     back = edges.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= REVERSE)
     back = back.groupBy(F.col("v").alias("pos")).agg(F.collect_list("u").alias("back"))
     near = F.array_distinct(F.concat("ids", F.coalesce("back", F.array().cast("array<bigint>"))))
-    block = F.floor(F.col("pos") / BLOCK).cast("int")
-    joined = durable(graph.join(back, "pos", "left").select(block.alias("block"), near.alias("near")))
-    needed = joined.select(F.col("block").alias("of_block"), F.explode("near").alias("pos")).distinct()
+    # Merged, so that no table of lists or vectors goes through the driver.
+    joined = durable(graph.join(back.hint("merge"), "pos", "left").select(_block().alias("block"), near.alias("near")))
     least = F.when(F.size("sims") < LIST, F.lit(float("-inf"))).otherwise(F.array_min("sims")).alias("least")
-    known = nodes.table.select("pos", *SENT).join(graph.select("pos", least), "pos")
-    found = joined.groupBy("block").cogroup(needed.join(known, "pos").groupBy("of_block")).applyInArrow(_meetings, MESSAGE)
-    placed = graph.select(block.alias("block"), "pos", "ids", "sims")
-    later = durable(placed.groupBy("block").cogroup(found.groupBy("to_block")).applyInArrow(_improved, GRAPH))
-    old = graph.select("pos", F.col("ids").alias("old"))
-    entries, fresh = later.join(old, "pos").agg(
-        F.sum(F.size("ids")), F.sum(F.size(F.array_except("ids", "old")))
-    ).first()
+    known = nodes.table.select("pos", *SENT).join(graph.select("pos", least).hint("merge"), "pos")
+    sent = delivered(joined, known, nodes.count)
+    found = joined.groupBy("block").cogroup(sent.groupBy("to_block")).applyInArrow(_meetings, MESSAGE)
+    placed = graph.select(_block().alias("block"), "pos", "ids", "sims")
+    later = durable(placed.groupBy("block").cogroup(found.groupBy("to_block")).applyInArrow(_improved, ROUND))
+    entries, fresh = later.agg(F.sum(F.size("ids")), F.sum("fresh")).first()
     discard(joined)
     return later, (fresh or 0) / max(entries or 0, 1)
 
@@ -294,10 +359,7 @@ def neighbour_graph(nodes: Nodes) -> DataFrame:
 def _expand(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
     """Pools of one block of queries after their candidates are scored."""
     pos = wanted.column("pos").to_numpy()
-    known = vectors.column("pos").to_numpy()
-    order = np.argsort(known)
-    known = known[order]
-    x = _vectors(vectors.column("bytes"), vectors.column("scale"))[order]
+    known, x, _ = _received(vectors)
     own = x[np.searchsorted(known, pos)]  # the further component is for rows, not for queries
     ids, row = _flat(wanted.column("fresh"))
     sims = np.einsum("ij,ij->i", own[row], x[np.searchsorted(known, ids)]) if len(ids) else np.zeros(0, np.float32)
@@ -306,15 +368,17 @@ def _expand(wanted: pa.Table, vectors: pa.Table) -> pa.Table:
     of, ids, sims = top(
         np.concatenate([pos[old_row], pos[row]]), np.concatenate([old, ids]), np.concatenate([old_sims, sims]).astype(np.float32), POOL
     )
-    return pa.Table.from_batches([_graph_batch(of, ids, sims)])
+    order = np.argsort(pos)
+    done = _whole(wanted.column("done")).take(pa.array(order[np.searchsorted(pos[order], np.unique(of))]))
+    return pa.Table.from_batches([_graph_batch(of, ids, sims)]).append_column("done", done)
 
 
 def _scored(nodes: Nodes, wanted: DataFrame) -> DataFrame:
-    """Pools after the ``fresh`` candidates of ``wanted(pos, ids, sims, fresh)`` are scored, block by block."""
-    wanted = durable(wanted.select(F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), "pos", "ids", "sims", "fresh"))
-    needed = wanted.select(F.col("block").alias("of_block"), F.explode(F.array_append("fresh", F.col("pos"))).alias("pos"))
-    known = needed.distinct().join(nodes.table.select("pos", "bytes", "scale"), "pos")
-    moved = durable(wanted.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_expand, GRAPH))
+    """Pools after the ``fresh`` candidates of ``wanted(pos, ids, sims, done, fresh)`` are scored, block by block."""
+    wanted = durable(wanted.select(_block().alias("block"), "pos", "ids", "sims", "done", "fresh"))
+    asked = wanted.select("block", F.array_append("fresh", F.col("pos")).alias("near"))
+    sent = delivered(asked, nodes.table.select("pos", "bytes", "scale"), nodes.count)
+    moved = durable(wanted.groupBy("block").cogroup(sent.groupBy("to_block")).applyInArrow(_expand, POOLS))
     discard(wanted)
     return moved
 
@@ -328,17 +392,14 @@ def search(nodes: Nodes, graph: DataFrame, queries: DataFrame) -> DataFrame:
     none, own = F.array().cast("array<bigint>"), F.array("pos")
     longest = nodes.table.orderBy(F.desc("length"), "pos").limit(ENTRIES)
     entries = F.array(*(F.lit(r.pos).cast("bigint") for r in longest.select("pos").collect()))
-    start = queries.select("pos").join(graph.select("pos", "ids"), "pos", "left")
+    start = queries.select("pos").join(graph.select("pos", "ids").hint("merge"), "pos", "left")
     first = F.array_except(F.array_union(F.coalesce("ids", none), entries), own)
-    pools = _scored(
-        nodes, start.select("pos", none.alias("ids"), F.array().cast("array<float>").alias("sims"), first.alias("fresh"))
-    )
-    done = pools.select("pos", none.alias("done"))
+    empty = none.alias("ids"), F.array().cast("array<float>").alias("sims"), none.alias("done")
+    pools = _scored(nodes, start.select("pos", *empty, first.alias("fresh")))
     finished = None
     for _ in range(FAR):
         chosen = F.slice(F.array_except("ids", "done"), 1, EXPANDED).alias("chosen")
-        state = durable(pools.join(done, "pos").select("pos", "ids", "sims", "done", chosen))
-        discard(pools)
+        state = pools.select("pos", "ids", "sims", "done", chosen)
         settled = state.where(F.size("chosen") == 0).select("pos", "ids", "sims")
         finished = settled if finished is None else finished.unionByName(settled)
         state = state.where(F.size("chosen") > 0)
@@ -349,8 +410,8 @@ def search(nodes: Nodes, graph: DataFrame, queries: DataFrame) -> DataFrame:
         )
         reached = reached.groupBy("pos").agg(F.array_distinct(F.flatten(F.collect_list("_next"))).alias("_next"))
         fresh = F.array_except(F.array_except(F.coalesce("_next", none), "ids"), own).alias("fresh")
-        pools = _scored(nodes, state.join(reached, "pos", "left").select("pos", "ids", "sims", fresh))
-        done = state.select("pos", F.concat("done", "chosen").alias("done"))
+        done = F.concat("done", "chosen").alias("done")
+        pools = _scored(nodes, state.join(reached, "pos", "left").select("pos", "ids", "sims", done, fresh))
     raise RuntimeError(f"searches have not ended in {FAR} rounds")
 
 

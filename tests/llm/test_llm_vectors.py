@@ -76,6 +76,23 @@ def test_lists_and_searches_go_on_until_they_settle(spark, monkeypatch):
     assert seen == list(range(7))
 
 
+@pytest.mark.parametrize("answered", [64, 1])
+def test_blocks_get_each_vector_once_in_a_row_for_each_pair_of_blocks(spark, monkeypatch, answered):
+    monkeypatch.setattr(neighbours, "ANSWERED", answered)
+    n, random = 3000, np.random.default_rng(3)
+    near = [random.integers(0, n, 60).tolist() for _ in range(n)]
+    near[5] = None
+    near[7] = []
+    asked = spark.createDataFrame([(i // 1024, lists) for i, lists in enumerate(near)], "block int, near array<bigint>")
+    known = spark.range(n).select(F.col("id").alias("pos"), F.col("id").cast("string").cast("binary").alias("bytes"), (F.col("id") * 2).cast("float").alias("scale"))
+    sent = neighbours.delivered(asked.repartition(4), known.repartition(3), n).collect()
+    assert len(sent) == 9  # one for each pair of blocks, not one for each vector of each block
+    for block in range(3):
+        got = [e for r in sent if r.to_block == block for e in zip(r.pos, r.bytes, r.scale, strict=True)]
+        wanted = {v for lists in near[block * 1024 : (block + 1) * 1024] for v in lists or ()}
+        assert sorted(got) == [(v, str(v).encode(), 2.0 * v) for v in sorted(wanted)]
+
+
 def test_few_rows_give_all_candidates(spark):
     rows = [(i, [float(i), 1.0], 0, 0, 0) for i in range(5)] + [(20, [1.0, 1.0], 0, 0, 0)]
     found = rows_of(neighbours.nearest_rows(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0))
