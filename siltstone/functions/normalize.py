@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import LINE_SPACE
 
 _REST = r"[^\n]*+"
+# Spacing other than one plain space; printable characters are passed by a cheap test.
+_SPACING = rf"(?=[^!-~\n])(?: (?={LINE_SPACE})|(?! ){LINE_SPACE}){LINE_SPACE}*+"
 
 
 def _plain_region(quote: str) -> str:
@@ -41,8 +43,9 @@ def normalized_code(code: Column, mode: str = "reference") -> Column:
     region, so a docstring on one line hides what follows it.  In ``balanced``
     mode a line on which the quotes pair up hides only itself.
     """
-    text = F.regexp_replace(code, _REGIONS[mode], "")
-    text = F.regexp_replace(text, rf"{LINE_SPACE}+", " ")
+    quoted = code.contains('"""') | code.contains("'''")
+    text = F.when(quoted, F.regexp_replace(code, _REGIONS[mode], "")).otherwise(code)
+    text = F.regexp_replace(text, _SPACING, " ")
     text = F.trim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
     return F.trim(F.regexp_replace(text, r"(?md)^#[^\n]*\n?", ""), F.lit("\n"))
 

@@ -172,3 +172,30 @@ def test_long_lines_take_linear_time(spark):
     for mode in ("reference", "balanced"):
         assert frame.select(normalized_code(F.col("code"), mode)).collect()
     assert frame.where(F.col("code").rlike(R.SQL_INJECTION)).count() == 0
+
+
+def test_cheap_tests_before_patterns_change_nothing(spark):
+    from siltstone.functions import complexity, normalize, text
+
+    # What the classes of Unicode alone give, without the plain tests before them.
+    words = f"{text.WORD_START}(?:{'|'.join(complexity.BRANCH_WORDS)}){text.WORD_END}"
+    assert "(?<![a-z0-9_])" in complexity._BRANCH
+    codes = ["if xéif _if 1if ß if.if", "a => b => [{(", ")]} ([{ =>", "İf IF else  if elseif", "", "x ? y && z || w", None]
+    codes += ["a  b\t c\n \t\n # d e \x1c f\r\n  #g\n", "   ", "a b", "''' x\n y ''' z\n  k  l", "a \t", "q\x85 r  \n s"]
+    frame = spark.createDataFrame([(c,) for c in codes], "code string")
+    low, code = F.lower("code"), F.col("code")
+
+    def lacking(sign):
+        return F.length(F.replace(code, F.lit(sign)))
+
+    halves = (F.length(code) - lacking("=>")) / 2 + F.greatest(F.lit(0), sum(map(lacking, ")]}"), F.lit(0)) - sum(map(lacking, "([{"), F.lit(0)))
+    branches = F.regexp_count(low, F.lit(f"{words}|&&|\\|\\||\\?")) + F.regexp_count(low, F.lit(complexity._ELSE_IF))
+    plain = F.regexp_replace(F.regexp_replace(code, normalize._REGIONS["reference"], ""), rf"{text.LINE_SPACE}+", " ")
+    plain = F.trim(F.regexp_replace(plain, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    plain = F.trim(F.regexp_replace(plain, r"(?md)^#[^\n]*\n?", ""), F.lit("\n"))
+    rows = frame.select(
+        complexity.cyclomatic_complexity(code), (F.lit(1) + branches + F.floor(halves / 2)).cast("int"), normalize.normalized_code(code), plain
+    ).collect()
+    assert len(rows) == len(codes)
+    for score, wanted, normal, wanted_normal in rows:
+        assert (score, normal) == (wanted, wanted_normal)
