@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import lexis
-from siltstone.functions.lexis import CODE, OPENERS
+from siltstone.functions import indented, lexis
+from siltstone.functions.indented import WORDS
+from siltstone.functions.lexis import CODE, OPENERS, is_name
 from siltstone.functions.text import has_docstring, imports_before, slice_lines
 from siltstone.operators.tokens import LINE, source_lines, source_tokens, unmatched
 from siltstone.session import discard, durable
@@ -31,14 +32,6 @@ _FOUND = (
 Outliner = Callable[[str], list[tuple]]
 
 # Words that languages reserve.
-PYTHON_WORDS = (
-    "and as assert async await break class continue def del elif else except finally for from global if import in is "
-    "lambda nonlocal not or pass raise return try while with yield"
-).split()
-# Levels that the statements of Python add, themselves and their block or the block alone.
-PYTHON_LEVELS = dict.fromkeys(("if", "elif", "else", "for", "while", "try", "except", "finally", "match"), 2) | dict.fromkeys(
-    ("with", "class", "def"), 1
-)
 SPLIT_BY = {"elif", "else", "except", "finally"}  # these go on with a statement that was there before
 MODIFIERS = (
     "public protected private static final abstract synchronized native strictfp default async get set override readonly declare export"
@@ -46,7 +39,7 @@ MODIFIERS = (
 CONTROL_HEADS = ("if", "for", "while", "switch", "catch")
 CONTROLS = (*CONTROL_HEADS, "try", "else", "finally", "do")
 BEFORE_VALUE = ("=", "(", ",", ":", "?", "[", "!", "&", "|", "+", "return", "=>")
-_NAME = r"\A#?[\p{L}_$][\p{L}\p{N}_$]*\z"
+IN_PLACE = 1 << 16  # Python texts of up to so many characters are read within their row
 
 
 def _order(*keys: str):
@@ -66,10 +59,6 @@ def _sum(column: Column, window) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
-def _is_name(tok: Column, reserved: tuple[str, ...] | list[str] = ()) -> Column:
-    return F.coalesce(tok.rlike(_NAME), F.lit(False)) & ~F.coalesce(tok.isin(*reserved), F.lit(False))
-
-
 def _beside(rows: DataFrame, steps: range, *fields: str) -> DataFrame:
     """``t-2, t-1, t1, ...``: neighbours in the sequence of a bracket as structs of fields."""
     order = _order("inst")
@@ -92,12 +81,12 @@ def _bracketed(tokens: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame]:
     """
     rows = _beside(tokens.where(F.col("language") != "python"), range(-3, 6), "pos", "line", "pair")
     java = F.col("language") == "java"
-    name = _is_name(F.col("tok"))
+    name = is_name(F.col("tok"))
     rows = rows.withColumn("last_line", F.greatest("pair_line", "line"))
     stop = F.when(F.col("tok").isin("{", ";", "=", "}"), F.struct("tok", "pos", "line", F.col("pair").alias("end"), F.col("pair_line").alias("end_line")))
     rows = rows.withColumn("next_stop", F.last(stop, ignorenulls=True).over(_coming("inst")))
     # Bodies of classes and other types, by the place of their bracket.
-    heads = F.col("tok").isin("class", "interface", "enum", "record") & (_t(-1).isNull() | ~_t(-1).isin(".", "@")) & _is_name(_t(1), ["extends", "implements"])
+    heads = F.col("tok").isin("class", "interface", "enum", "record") & (_t(-1).isNull() | ~_t(-1).isin(".", "@")) & is_name(_t(1), ["extends", "implements"])
     heads &= (F.col("tok") == "class") | java
     shut = (F.col("next_stop.tok") == "{") & F.col("next_stop.end").isNotNull()
     bodies = rows.where(heads & shut).select(
@@ -119,7 +108,7 @@ def _bracketed(tokens: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame]:
     signature = name & (_t(1) == "(") & (_t(2) == ")")
     direct = F.col("own_type").isNotNull() & signature & ~F.col("assigned") & ~F.coalesce(_t(-1).isin(".", "new", "@", "function"), F.lit(False))
 
-    typed = (_is_name(_t(-1), MODIFIERS + ["extends", "implements"]) & (_t(-2).isNull() | (_t(-2) != "@"))) | _t(-1).isin("]", ">")
+    typed = (is_name(_t(-1), MODIFIERS + ["extends", "implements"]) & (_t(-2).isNull() | (_t(-2) != "@"))) | _t(-1).isin("]", ">")
     java_method = java & direct & typed & (F.col("tok") != F.col("own_type")) & _t(3).isin("{", ";", "throws", "[")
     at_start = _t(-1).isNull() | _t(-1).isin(";", "}", "*", ")") | _t(-1).isin(*MODIFIERS) | (_t(-2) == "@")
     js_method = ~java & direct & at_start & _t(3).isin("{", ":") & ~F.col("tok").isin(*CONTROL_HEADS) & F.lit(not compat)
@@ -141,8 +130,8 @@ def _bracketed(tokens: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame]:
     rows = _beside(rows, range(6, 9), "pos", "line")
     named = ~java & name & (_t(1) == "=")
     listed = named & (p(2) == "(") & (p(3) == ")") & ((p(4) == "=>") | ((p(4) == ":") & (p(6) == "=>")))
-    lone = named & _is_name(p(2)) & (p(3) == "=>")
-    typed_name = (_t(-1) == ":") & _is_name(_t(-2))
+    lone = named & is_name(p(2)) & (p(3) == "=>")
+    typed_name = (_t(-1) == ":") & is_name(_t(-2))
     bare = ~java & name & (_t(1) == "=>")
     if compat:
         listed, lone = F.lit(False), F.lit(False)
@@ -226,21 +215,18 @@ def _statements(lines: DataFrame) -> DataFrame:
     """``path, pos, line, indent, kind, name, last_line``: each logical line of Python, its first word and where it ends."""
     order = Window.partitionBy("path").orderBy("line")
     code = F.col("code")
-    net = F.regexp_count(code, F.lit(r"[(\[{]")) - F.regexp_count(code, F.lit(r"[)\]}]"))
-    rows = lines.where("language = 'python'").withColumn("_net", net)
+    rows = lines.where("language = 'python'").withColumn("_net", indented.net_brackets(code))
     rows = rows.withColumn("_deep", _sum(F.col("_net"), order.rowsBetween(Window.unboundedPreceding, -1)) > 0)
     filled = code.rlike(r"\S")
-    joined = F.coalesce(F.lag("code").over(order).rlike(r"\\\s*\z"), F.lit(False))
+    joined = F.coalesce(indented.joins_next(F.lag("code").over(order)), F.lit(False))
     rows = rows.withColumns({
         "_fresh": filled & (F.col("state") == CODE) & ~F.col("_deep") & ~joined,
         "_covered": filled | (F.col("state") != CODE) | F.col("_deep"),
     })
     rows = rows.withColumn("_number", F.sum(F.col("_fresh").cast("bigint")).over(order)).where("_covered AND _number > 0")
-    lead = F.regexp_replace(F.regexp_extract("text", r"\A﻿?([ \t\f]*)", 1), "\t", " " * 8)
-    first = F.regexp_extract("code", r"\A﻿?\s*(?:async\s+(?=def|for|with))?(\w+)", 1)
-    name = F.regexp_extract("code", r"\A﻿?\s*(?:async\s+)?(?:def|class)\s+(\w+)", 1)
-    soft = (first != "match") | code.rlike(r":\s*\z")
-    head = F.struct("line", F.length(lead).alias("indent"), F.when(soft, first).alias("kind"), name.alias("name"))
+    first = indented.first_word(code)
+    kind = F.when(indented.opens_block(first, code), first)
+    head = F.struct("line", indented.indent_of(F.col("text")).alias("indent"), kind.alias("kind"), indented.defined_name(code).alias("name"))
     grouped = rows.groupBy("path", "_number").agg(F.min(F.when(F.col("_fresh"), head)).alias("h"), F.max("line").alias("last_line"))
     place = F.col("h.line").cast("bigint") * LINE
     return grouped.select("path", place.alias("pos"), "h.*", "last_line")
@@ -249,7 +235,7 @@ def _statements(lines: DataFrame) -> DataFrame:
 def _blocks(statements: DataFrame) -> DataFrame:
     """``path, pos, line, kind, name, end_line`` of each statement with a block."""
     order = Window.partitionBy("path").orderBy("pos")
-    opens = F.coalesce(F.col("kind").isin(*PYTHON_LEVELS), F.lit(False))
+    opens = F.col("kind").isNotNull()
     rows = statements.withColumn("_opens", opens)
     rows = rows.withColumns({"_end": F.lag("last_line").over(order), "_came": F.lag("indent").over(order), "_head": F.lag("_opens").over(order)})
     # Where statements are not indented further than before, blocks may end; each such place asks all indents that blocks have.
@@ -280,7 +266,7 @@ def _python(tokens: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame,
         "path", F.lit("python").alias("language"), F.col("name").alias("function"), "pos", F.col("line").alias("start_line"), "sig",
         F.lit(None).cast("string").alias("lone"), end, "end_line", F.col("pos").alias("body"),
     )
-    weight = F.create_map(*(F.lit(x) for pair in PYTHON_LEVELS.items() for x in pair))[F.col("kind")]
+    weight = indented.levels_of(F.col("kind"))
     both = blocks.select("path", F.explode(F.array(F.struct("pos", weight.alias("add")), F.struct(end.alias("pos"), (-weight).alias("add")))).alias("e"))
     levels = both.groupBy("path", "e.pos").agg(F.sum("e.add").alias("add")).withColumn("here", F.lit(0))
     return functions, classes, levels
@@ -294,7 +280,7 @@ def _callees(tokens: DataFrame) -> DataFrame:
     """
     rows = _beside(tokens.where(F.col("language") == "python"), range(-3, 0), "line")
     tok, before = F.col("tok"), _t(-1)
-    ends_value = F.coalesce(_is_name(before, PYTHON_WORDS) | before.isin(")", "]", "}", '"', "'", '"""', "'''"), F.lit(False))
+    ends_value = F.coalesce(is_name(before, WORDS) | before.isin(")", "]", "}", '"', "'", '"""', "'''"), F.lit(False))
     own_line = (F.col("inst") < 0) & (F.col("line") > F.coalesce(_t(-1, "line"), F.lit(0)))
     goes_on = F.when(tok.isin(")", "]", "}"), True).when(tok == ".", ends_value).when(tok.isin("(", "["), ends_value).otherwise(F.coalesce(before == ".", F.lit(False)))
     goes_on = goes_on & ~(own_line & ~tok.isin(")", "]", "}"))
@@ -307,12 +293,12 @@ def _callees(tokens: DataFrame) -> DataFrame:
     shut = F.when(opening & (F.col("pos") <= F.col("_last")), 1).when(tok.isin(")", "]", "}") & (F.col("pair") <= F.col("_last")), -1).otherwise(0)
     rows = rows.withColumn("_shut", shut)
     rows = rows.withColumn("_hidden", _sum(F.col("_shut"), _seen()))
-    owner = _is_name(_t(-3), PYTHON_WORDS)
+    owner = is_name(_t(-3), WORDS)
     deeper = F.lag(F.col("tok"), 4).over(_order("inst")) == "."
     rows = rows.withColumn("_deeper", F.coalesce(deeper, F.lit(False)))
     attribute = F.coalesce(_t(-2) == ".", F.lit(False))
     callee = F.when(attribute, F.when(owner & ~F.col("_deeper"), F.concat(_t(-3), F.lit("."), before)).otherwise(before)).otherwise(before)
-    plain = rows.where(F.col("_called") & (F.col("pos") == F.col("_last")) & (F.col("_hidden") == 0) & _is_name(before, PYTHON_WORDS))
+    plain = rows.where(F.col("_called") & (F.col("pos") == F.col("_last")) & (F.col("_hidden") == 0) & is_name(before, WORDS))
     return plain.select("path", "pos", callee.alias("callee"))
 
 
@@ -325,7 +311,7 @@ def _parameters(tokens: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_angle": _sum(angle, _seen("inst")), "_level": F.sum(angle).over(whole), "_step": angle})
     outside = (F.col("_angle") <= 0) | (F.col("_level") != 0)
     in_lambda = F.coalesce(F.last(F.when(tok == "lambda", True).when(tok == ":", False), ignorenulls=True).over(_seen("inst")), F.lit(False))
-    name = _is_name(tok, ["lambda"])
+    name = is_name(tok, ["lambda"])
     leading = name & (_t(-1).isNull() | _t(-1).isin(",", "*", "**", "...")) & ~in_lambda
     # In Java the name is the last word, behind a type; one with dots is a rest parameter.
     ended = _t(1).isNull() | _t(1).isin(",", "[")
@@ -413,7 +399,26 @@ def locate_functions(files: DataFrame, *, compat: bool = False) -> DataFrame:
     parameters, names other arrows by their parameter, and knows parameters of
     Java only.  A null path or content has no functions; of files that repeat a
     path each must be given apart.
+
+    A Python text of up to IN_PLACE characters is read within its row.  The
+    other texts become rows of lines and tokens, which any length allows.
     """
+    known = files.where(F.col("language").isin(*OPENERS) & F.col("content").isNotNull() & F.col("path").isNotNull())
+    in_place = (F.col("language") == "python") & (F.length("content") <= IN_PLACE)
+    found = F.when(in_place, indented.functions_of(F.col("content")))
+    placed = durable(known.select("path", in_place.alias("in_place"), found.alias("found")))
+    repeated = files.groupBy("path").count().where("count > 1").select("path")
+    each = placed.join(repeated, "path", "left_anti").select("path", F.explode("found").alias("f")).select("path", "f.*")
+    each = each.select("path", *FOUND, (F.col("start_line").cast("bigint") * LINE).alias("pos"))
+    if compat:
+        each = each.withColumn("parameters", F.array().cast("array<string>"))
+    if placed.where("NOT in_place").isEmpty():
+        return each
+    return each.unionByName(_locate_by_rows(known.where(~in_place), compat))
+
+
+def _locate_by_rows(files: DataFrame, compat: bool) -> DataFrame:
+    """As ``locate_functions``, by windows over lines and tokens."""
     lines, bad = _read(files)
     bad = durable(bad)
     lines_ = lines.join(bad, "path", "left_anti")
@@ -421,8 +426,8 @@ def locate_functions(files: DataFrame, *, compat: bool = False) -> DataFrame:
     braced, bodies = _bracketed(tokens_, compat)
     statements = durable(_statements(lines_))
     blocks = durable(_blocks(statements))
-    indented, classes, levels = _python(tokens_, blocks)
-    functions = _outermost(braced.unionByName(indented))
+    unbraced, classes, levels = _python(tokens_, blocks)
+    functions = _outermost(braced.unionByName(unbraced))
     functions = durable(_with_class(functions, bodies.unionByName(classes)))
     levels = _bracketed_levels(tokens_).unionByName(levels)
     out = functions.join(_nesting(functions, levels), ["path", "pos"], "left")

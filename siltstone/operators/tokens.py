@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import lexis
+from siltstone.functions.lexis import CLOSING, OPENING, TOKEN
 from siltstone.session import durable
 
 BLOCK = 64  # effects composed at a time
 TOP = -1  # what a token outside all brackets stands in
 LINE = 1 << 32  # a place is its line times this, plus the number of the token
-TOKEN = r"[\p{L}\p{N}_$#]+|=>|->|\.\.\.|\*\*|\S"
-OPENING, CLOSING = ("(", "[", "{"), (")", "]", "}")
 
 
 def _effects_before(events: DataFrame) -> DataFrame:
@@ -121,18 +120,10 @@ def source_tokens(lines: DataFrame) -> DataFrame:
 def unmatched(lines: DataFrame) -> DataFrame:
     """``path`` of the files whose brackets do not match, from the brackets of their lines alone.
 
-    The brackets of a file are one text, read with a stack of those that are
-    still to come; what cannot match stays on it.  Where a path repeats, lines
-    do too, and their brackets match nothing.
+    Where a path repeats, lines do too, and their brackets match nothing.
     """
     found = lines.select("path", "line", F.regexp_replace("code", r"[^()\[\]{}]+", "").alias("_b")).where("_b <> ''")
     listed = found.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "_b"))).alias("_l"))
-    signs = F.split(F.array_join(F.transform("_l", lambda x: x["_b"]), ""), "")
-
-    def read(stack: Column, sign: Column) -> Column:
-        wanted = F.translate(sign, "".join(OPENING), "".join(CLOSING))
-        shut = F.substr(stack, F.lit(1), F.length(stack) - 1)
-        return F.when(sign == "", stack).when(wanted != sign, F.concat(stack, wanted)).when(stack.endswith(sign), shut).otherwise(F.concat(stack, F.lit("!")))
-
+    brackets = F.array_join(F.transform("_l", lambda x: x["_b"]), "")
     repeated = F.size(F.array_distinct(F.transform("_l", lambda x: x["line"]))) < F.size("_l")
-    return listed.where(repeated | (F.aggregate(signs, F.lit(""), read) != "")).select("path")
+    return listed.where(repeated | lexis.unmatched(brackets)).select("path")

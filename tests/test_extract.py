@@ -122,3 +122,33 @@ def test_unread_files_by_brackets_and_open_strings(spark):
     texts = {"ok": "f(a[{1: '('}])", "shut": ")(", "cross": "(a[b)]", "left": "(\n(\n)", "open": "x = '''\n", "none": "x = 1", "lines": "f(\n[\n]\n)"}
     files = spark.createDataFrame([(n, "python", t) for n, t in texts.items()], FILES)
     assert {r.path for r in extract.unread_files(files).collect()} == {"shut", "cross", "left", "open"}
+
+
+IN_ROWS = {
+    "calls": "def f(a=g(1)):\n    x[h()].y(k()).z(q())[r()]\n    ((s)())(t())\n    return u.v(\n        w(),\n    ) or (\n        1.5.real, \"(\".join(a) \\\n        .strip())\n",
+    "names": "async def f(\n    self, a: t[int] = [1, (2, b)], *c, d=lambda e, g: e, h=1 < 2, i=3 > 2, **k\n) -> r(1): pass\ndef g[T](u): pass\ndef h\n",
+    "blocks": "class A:\n  def f(self):\n\tif a:\n\t\tfor b in c: pass\n\telse:\n\t\tclass B:\n\t\t\tdef g(): pass\n  # c\n  x = 1\n"
+    "class C(A): \n  class D:\n    match x:\n      case 1:\n        def h():\n          match(a)\n\n  def i(): 1\n",
+    "strings": "def f():\n    \"\"\" def g():\n    ( \"\"\"; a()\n    b = 'x\\\n    (y'; c()\n    return r'd()', f'{e()}' # g()\n\ndef h(): '''\n'''\n",
+    "quote": "def f():\n  a = 'b''c'\n  d = 'e'\"f\n",
+    "open": "def f():\n  '''\n",
+    "shut": "def f():\n  (]\n",
+    "none": "",
+}
+
+
+def test_texts_read_in_their_row_or_as_lines_and_tokens_agree(spark, monkeypatch):
+    rows = [(name, "python", text) for name, text in (SOURCES | IN_ROWS).items() if not name.endswith((".js", ".java"))]
+    rows += [("calls.py", "python", IN_ROWS["calls"]), ("calls", "python", "def other(): pass"), (None, "python", "def f(): pass"), ("nothing", "python", None)]
+    files = spark.createDataFrame(rows, FILES)
+
+    def read():
+        return sorted(map(str, locate_functions(files).collect()))
+
+    with monkeypatch.context() as short:
+        short.setattr(extract, "_locate_by_rows", lambda *_: pytest.fail("short texts became rows"))
+        in_place = read()
+    monkeypatch.setattr(extract, "IN_PLACE", -1)
+    assert in_place == read()
+    # A path that repeats, strings and brackets that do not close have none.
+    assert [sum(f"path='{n}'" in r for r in in_place) for n in ("names", "blocks", "strings", "calls.py", "calls", "open", "shut")] == [3, 3, 2, 1, 0, 0, 0]
